@@ -5,14 +5,19 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, fingerprints, language_id, licences, sharding, token_counts, toxicity
+from . import byte_bpe, decontaminate, fingerprints, language_id, licences, sharding, token_counts, toxicity
 from .common import documents, table
 
 #: Vocabulary files; a path() of the public tokenizers by default.
 JSON_BPE = public_tokenizers.path("byte_bpe_50k.json")
+RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
+def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.encode(documents(spark, sf_dir), RANKS)
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(documents(spark, sf_dir), PIECES)
 
@@ -43,6 +48,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_byte_bpe": op3_byte_bpe,
     "op4_language_id": op4_language_id,
     "op5_token_counts": op5_token_counts,
     "op6_toxicity": op6_toxicity,
