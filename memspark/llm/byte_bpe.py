@@ -139,7 +139,7 @@ class Codec:
             least = lv
         chosen = counted.filter((w != "") & (level >= F.lit(float(least)))).select("w")
         # many tasks for the folds, whatever the files of counted were
-        own = chosen.repartition(64, "w").select("w", self.value(self.rank_maps).alias("ranks")).select(F.col("w").alias("key"), fold(w, F.col("ranks")).alias("value"))
+        own = chosen.repartition(64, "w").select("w", self.value(self.rank_maps).alias("ranks")).select(F.col("w").alias("key"), let(F.col("ranks"), lambda r: fold(w, r)).alias("value"))
         return materialise(_bucketed(own, WORD_BUCKETS), "dictionary"), bool(counted.filter("w = ''").take(1))
 
     @staticmethod
@@ -152,7 +152,8 @@ class Codec:
         lit = docs.select(id_col, "text", self.value(words).alias("dict"), self.value(self.rank_maps).alias("ranks"), self.value(self.pieces, "le").alias("le_of"), self.value(self.pieces, "raw").alias("raw_of"))
         slow = F.col("text").rlike(r"[^\s]{%d}|\s{%d}" % (LONG_WORD // 4, LONG_WORD // 4)) & F.exists(split_words(F.col("text")), lambda x: F.octet_length(x) > LONG_WORD)
         fast = lit.filter(~slow) if long else lit
-        ids = F.flatten(F.transform(split_words(F.col("text")), lambda x: F.coalesce(_look_up(F.col("dict"), x, WORD_BUCKETS), fold(x, F.col("ranks")))))
+        # each literal is read through let: named once only, it stays a value of the expression and is not copied into rows
+        ids = let(F.col("ranks"), lambda r: let(F.col("dict"), lambda d: F.flatten(F.transform(split_words(F.col("text")), lambda x: F.coalesce(_look_up(d, x, WORD_BUCKETS), fold(x, r))))))
         out = let(ids, lambda i: F.struct(F.size(i).cast("long").alias("n"), F.array_join(F.transform(i, lambda x: F.get(F.col("le_of"), x)), "").alias("le"), F.array_join(F.transform(i, lambda x: F.get(F.col("raw_of"), x)), "").alias("raw")))
         out = fast.select(id_col, out.alias("x")).select(id_col, F.col("x.n").alias("n_tokens"), F.sha2(F.unhex("x.le"), 256).alias("ids_sha256"), F.sha2(F.unhex("x.raw"), 256).alias("decoded_sha256"))
         return out.unionByName(self._heap(docs.filter(slow), id_col)) if long else out
