@@ -29,8 +29,8 @@ from .common import crc_bucket, picked
 LONGEST_WORD = 24
 START = "▁"
 LETTERS = regex.compile(r"\p{L}+")
-#: Chunks a worker remembers before it starts anew.
-CACHE = 200_000
+#: Chunks, and words, a worker remembers before it starts anew.
+CACHE = 400_000
 
 
 def vocabulary_pieces(path: str) -> list[str]:
@@ -50,26 +50,73 @@ def words_in(chunk: str) -> list[str]:
     return out
 
 
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[:1] = 1
+    return np.multiply.accumulate(out)
+
+
+class PieceTable:
+    """Finds pieces in words by rolling hashes modulo 2**64, for many words at once."""
+
+    BASE = 0x9E3779B97F4A7C15
+    INVERSE = pow(BASE, -1, 1 << 64)
+
+    def __init__(self, pieces: list[str]):
+        self.n = len(pieces)
+        self.power = self.inverse = np.zeros(0, np.uint64)
+        by: dict[int, list[int]] = {}
+        for i, x in enumerate(pieces):
+            by.setdefault(len(x), []).append(i)
+        self.of = {}
+        for n, ids in sorted(by.items()):
+            prefix, _ = self._prefix("".join(pieces[i] for i in ids))
+            h = self._hash(prefix, np.arange(len(ids)) * n, n)
+            order = np.argsort(h)
+            self.of[n] = h[order], np.array(ids, np.int64)[order]
+
+    def _prefix(self, text: str) -> tuple[np.ndarray, int]:
+        code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)
+        if len(code) > len(self.power):
+            self.power, self.inverse = _powers(self.BASE, 2 * len(code)), _powers(self.INVERSE, 2 * len(code))
+        return np.concatenate((np.zeros(1, np.uint64), np.cumsum(code * self.power[: len(code)], dtype=np.uint64))), len(code)
+
+    def _hash(self, prefix: np.ndarray, start: np.ndarray, n: int) -> np.ndarray:
+        return (prefix[start + n] - prefix[start]) * self.inverse[start]
+
+    def edges(self, words: list[str], sizes: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(word, start, end, piece) of every piece in every word; a letter that is no piece counts as piece n."""
+        prefix, total = self._prefix("".join(words))
+        word = np.repeat(np.arange(len(words)), sizes)
+        first = np.cumsum(sizes) - sizes
+        inside = np.arange(total) - first[word]
+        left = sizes[word] - inside
+        out = []
+        for n in {1: None, **self.of}:
+            at = np.flatnonzero(left >= n)
+            if n in self.of:
+                hashes, ids = self.of[n]
+                h = self._hash(prefix, at, n)
+                k = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
+                hit = hashes[k] == h
+                piece = np.where(hit, ids[k], self.n)
+            else:
+                hit, piece = np.zeros(len(at), bool), np.full(len(at), self.n)
+            if n > 1:
+                at, piece = at[hit], piece[hit]
+            out.append((word[at], inside[at], inside[at] + n, piece))
+        return tuple(np.concatenate(x) for x in zip(*out))
+
+
 class Lattice:
     """All pieces in each of some words, as flat arrays sorted by where they end."""
 
-    def __init__(self, words: list[str], pieces: dict[str, int], longest: int):
-        at, a, b, piece = [], [], [], []
-        get, unknown = pieces.get, len(pieces)
-        for i, w in enumerate(words):
-            n = len(w)
-            for s in range(n):
-                for e in range(s + 1, min(n, s + longest) + 1):
-                    k = get(w[s:e])
-                    if k is None:
-                        if e > s + 1:
-                            continue
-                        k = unknown
-                    at.append(i), a.append(s), b.append(e), piece.append(k)
-        order = np.argsort(np.array(b, np.int64), kind="stable")
-        self.word, self.start, self.end, self.piece = (np.array(x, np.int64)[order] for x in (at, a, b, piece))
+    def __init__(self, words: list[str], table: PieceTable):
         self.n, self.sizes = len(words), np.fromiter(map(len, words), np.int64, len(words))
         self.most = int(self.sizes.max()) if words else 0
+        word, start, end, piece = table.edges(words, self.sizes)
+        order = np.argsort(end, kind="stable")
+        self.word, self.start, self.end, self.piece = word[order], start[order], end[order], piece[order]
 
     def forward(self, p: np.ndarray) -> np.ndarray:
         """alpha[position, word] under one language's piece probabilities."""
@@ -101,37 +148,36 @@ class Lattice:
 @dataclass
 class Model:
     languages: list[str]
-    pieces: dict[str, int]
+    pieces: list[str]
     p: np.ndarray  # language x piece; the last piece stands for any letter the vocabulary lacks
 
-    def word_scores(self, words: list[str]) -> np.ndarray:
-        """log probability, word x language."""
-        out = np.zeros((len(words), len(self.languages)))
-        longest = max(map(len, self.pieces), default=1)
-        for a in range(0, len(words), 5_000):
-            part = Lattice(words[a : a + 5_000], self.pieces, longest)
-            for k, p in enumerate(self.p):
-                out[a : a + 5_000, k] = np.log(part.total(part.forward(p)))
-        return out
+
+def word_scores(model: Model, table: PieceTable, words: list[str]) -> np.ndarray:
+    """log probability, word x language."""
+    out = np.zeros((len(words), len(model.languages)))
+    for a in range(0, len(words), 5_000):
+        part = Lattice(words[a : a + 5_000], table)
+        for k, p in enumerate(model.p):
+            out[a : a + 5_000, k] = np.log(part.total(part.forward(p)))
+    return out
 
 
 def fit(counts: dict[str, dict[str, int]], pieces: list[str], rounds: int = 4, smooth: float = 0.1) -> Model:
     """From word counts by language. Words with a letter outside the vocabulary keep it as the unknown piece."""
-    index = {x: i for i, x in enumerate(pieces)}
+    table = PieceTable(pieces)
     languages = sorted(counts)
-    longest = max(map(len, pieces), default=1)
     out = []
     for lang in languages:
         words = sorted(counts[lang])
         weight = np.array([counts[lang][w] for w in words], float)
         p = np.full(len(pieces) + 1, 1 / (len(pieces) + 1))
-        for r in range(rounds):
+        for _ in range(rounds):
             c = np.full(len(p), smooth)
             for a in range(0, len(words), 5_000):
-                c += Lattice(words[a : a + 5_000], index, longest).expected(p, weight[a : a + 5_000])
+                c += Lattice(words[a : a + 5_000], table).expected(p, weight[a : a + 5_000])
             p = c / c.sum()
         out.append(p)
-    return Model(languages, index, np.array(out).reshape(len(languages), len(pieces) + 1))
+    return Model(languages, pieces, np.array(out).reshape(len(languages), len(pieces) + 1))
 
 
 def sample_counts(df: DataFrame, id_col: str, text_col: str, lang_col: str, folds: int, held: int, max_docs_per_lang: int) -> dict[str, dict[str, int]]:
@@ -161,34 +207,52 @@ _scorer: dict = {}
 
 
 class Scorer:
+    """Scores texts; remembers the chunks (runs without white space) and words it has met, up to CACHE of each."""
+
     def __init__(self, model: Model):
-        self.model, self.index, self.rows = model, {}, np.zeros((0, len(model.languages) + 1))
+        self.model, self.table = model, PieceTable(model.pieces)
+        self.chunks: dict[str, int] = {}
+        self.words: dict[str, int] = {}
+        self.chunk_rows = np.zeros((CACHE, len(model.languages) + 1))  # the last column counts words
+        self.word_rows = np.zeros((CACHE, len(model.languages)))
+
+    def _room(self, known: dict[str, int], rows: np.ndarray, more: int) -> np.ndarray:
+        need = len(known) + more
+        return rows if need <= len(rows) else np.concatenate((rows, np.zeros((need, rows.shape[1]))))
 
     def learn(self, chunks: set[str]) -> None:
-        new = list(chunks - self.index.keys())
-        if len(self.index) + len(new) > CACHE:
-            self.index, self.rows = {}, self.rows[:0]
+        new = list(chunks - self.chunks.keys())
+        if len(self.chunks) + len(new) > CACHE:
+            self.chunks.clear()
             new = list(chunks)
         own = [words_in(c) for c in new]
-        words = list({w for ws in own for w in ws})
-        at = {w: i for i, w in enumerate(words)}
-        score = self.model.word_scores(words)
-        add = np.zeros((len(new), self.rows.shape[1]))
-        for i, ws in enumerate(own):
-            for w in ws:
-                add[i, :-1] += score[at[w]]
-            add[i, -1] = len(ws)
-        start = len(self.index)
-        self.index.update((c, start + i) for i, c in enumerate(new))
-        self.rows = np.concatenate((self.rows, add))
+        wanted = {w for ws in own for w in ws}
+        if len(self.words) + len(wanted - self.words.keys()) > CACHE:
+            self.words.clear()
+        words = list(wanted - self.words.keys())
+        self.word_rows = self._room(self.words, self.word_rows, len(words))
+        start = len(self.words)
+        self.word_rows[start : start + len(words)] = word_scores(self.model, self.table, words)
+        self.words.update((w, start + i) for i, w in enumerate(words))
+        self.chunk_rows = self._room(self.chunks, self.chunk_rows, len(new))
+        start = len(self.chunks)
+        size = np.fromiter(map(len, own), np.int64, len(own))
+        flat = np.fromiter((self.words[w] for ws in own for w in ws), np.int64, int(size.sum()))
+        owner = np.repeat(np.arange(len(own)), size)
+        rows = self.chunk_rows[start : start + len(new)]
+        for k in range(len(self.model.languages)):
+            rows[:, k] = np.bincount(owner, self.word_rows[flat, k], len(own))
+        rows[:, -1] = size
+        self.chunks.update((c, start + i) for i, c in enumerate(new))
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         names, scores = [], []
-        for a in range(0, len(texts), 64):
-            part = [(t or "").split() for t in texts[a : a + 64]]
+        for a in range(0, len(texts), 256):
+            part = [(t or "").split() for t in texts[a : a + 256]]
             self.learn({c for cs in part for c in cs})
+            get = self.chunks.__getitem__
             for cs in part:
-                total = self.rows[[self.index[c] for c in cs]].sum(0) if cs else np.zeros(self.rows.shape[1])
+                total = self.chunk_rows[np.fromiter(map(get, cs), np.int64, len(cs))].sum(0)
                 if not total[-1] or not self.model.languages:
                     names.append("und"), scores.append(0.0)
                     continue

@@ -107,7 +107,7 @@ def test_forward_sums_all_segmentations():
         return 1.0 if not w else sum((p[pieces[w[:n]]] if w[:n] in pieces else p[6] if n == 1 else 0) * total(w[n:]) for n in range(1, len(w) + 1))
 
     words_ = ["▁abab", "▁c", "▁aab", "b"]
-    lat = language_id.Lattice(words_, pieces, 3)
+    lat = language_id.Lattice(words_, language_id.PieceTable(sorted(pieces, key=pieces.get)))
     assert lat.total(lat.forward(p)) == pytest.approx([total(w) for w in words_])
 
 
