@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, decontaminate, fingerprints, language_id, licences, sharding, token_counts, toxicity
+from . import byte_bpe, decontaminate, fingerprints, language_id, licences, near_dups, sharding, token_counts, toxicity
 from .common import documents, table
 
 #: Vocabulary files; a path() of the public tokenizers by default.
@@ -14,6 +14,10 @@ RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
+def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dups.near_duplicates(documents(spark, sf_dir))
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode(documents(spark, sf_dir), RANKS)
 
@@ -48,6 +52,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_near_duplicates": op1_near_duplicates,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_language_id": op4_language_id,
     "op5_token_counts": op5_token_counts,
