@@ -1,4 +1,75 @@
-"""placeholder, replaced below"""
-QUERIES: dict = {}
-ORACLES: dict = {}
-STAGES: list = []
+"""A corpus pipeline: language, near duplicates, repeated passages, benchmark leaks, token ids.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written and read again before the
+next. All but the last return the columns of documents. What a stage drops is gone; a text that a stage
+cuts is passed on cut, with its new n_chars.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from memspark.llm import byte_bpe, decontaminate, language_id, near_dups, repeats
+from memspark.llm.common import shared_dir, table
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
+RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+
+
+def _kept(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The documents whose id is in ids, a null id included."""
+    return docs.join(ids.distinct(), docs["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi").select(*COLUMNS)
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects texts without a letter, and those no language takes with at least half of the probability."""
+    rated = language_id.identify(docs, PIECES, keep=("text", "lang", "source", "n_chars"))
+    return rated.filter((F.col("lang_pred") != "und") & (F.col("score") >= 0.5)).select(*COLUMNS)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class stays: the one with the smallest id."""
+    return _kept(docs, near_dups.near_duplicates(docs).filter("is_kept").select("doc_id"))
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the bytes of strings of 400 bytes that stand elsewhere too; a text with nothing left goes."""
+    cut = repeats.remove_repeats(docs, length=400, keep=("lang", "source", "n_chars", "text"), with_text=True)
+    text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))
+    n = F.when(F.col("n_removed") > 0, F.char_length("kept_text").cast("long")).otherwise(F.col("n_chars"))
+    return cut.filter((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_bytes"))).select("doc_id", text.alias("text"), "lang", "source", n.alias("n_chars"))
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a window of a benchmark item go."""
+    found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"))
+    leaks = found.filter("contaminated").select("doc_id").distinct()
+    return docs.join(leaks, docs["doc_id"].eqNullSafe(leaks["doc_id"]), "left_anti").select(*COLUMNS)
+
+
+def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of the ids and of the decoded bytes."""
+    return byte_bpe.encode(docs, RANKS)
+
+
+STAGES = [("language", language), ("near_duplicates", near_duplicates), ("repeated_passages", repeated_passages), ("decontaminated", decontaminated), ("token_ids", token_ids)]
+#: Segmentations and merges are not SQL; the tests hold run() against a brute-force pipeline.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    top = f"{shared_dir(spark).rstrip('/')}/memspark/pipeline-{uuid.uuid4().hex}"
+    for k, (name, stage) in enumerate(STAGES):
+        stage(spark, docs, sf_dir).write.parquet(f"{top}/{k}-{name}")
+        docs = spark.read.parquet(f"{top}/{k}-{name}")
+    return docs
+
+
+QUERIES = {"pipeline": run}
+ORACLES = {"pipeline": ORACLE_SQL}
