@@ -65,16 +65,26 @@ def sentences(text: Column) -> Column:
     return F.filter(F.transform(F.split(text, r"[.!?\n]+"), trimmed), lambda s: F.length(s) >= 5)
 
 
+def _let(value: Column, body) -> Column:
+    """body(value), with value computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def statement(sentence: Column) -> Column:
-    """(subject, predicate, object) of the first verb group that matches; null where none does or a part has an odd length."""
-    found = F.lit(None).cast("struct<subject:string,predicate:string,object:string>")
-    for verbs, name in reversed(STATEMENT_VERBS):
+    """(subject, predicate, object) of the first verb group that matches; null where none does or a part has an odd length.
+
+    A sentence is searched for a verb between spaces first, which is cheap, and only then for the whole pattern.
+    """
+    none = F.lit(None).cast("struct<subject:string,predicate:string,object:string>")
+
+    def whole(verbs: str, name: str) -> Column:
         pattern = UNICODE + rf"(\w[\w\s]{{1,30}}?)\s+({verbs})\s+(.+)"
-        part = lambda i, p=pattern: F.regexp_extract(sentence, p, i)
-        whole = F.struct(trimmed(part(1)).alias("subject"), F.lit(name).alias("predicate"), trimmed(F.element_at(F.split(trimmed(part(3)), UNICODE + r"[,;]|\band\b|\bbut\b"), 1)).alias("object"))
-        found = F.when(F.regexp_like(sentence, F.lit(pattern)), whole).otherwise(found)
-    ok = F.length(found.subject).between(2, 50) & F.length(found.object).between(2, 80)
-    return F.when(ok, found)
+        end = F.element_at(F.split(trimmed(F.regexp_extract(sentence, pattern, 3)), UNICODE + r"[,;]|\band\b|\bbut\b"), 1)
+        found = _let(F.regexp_extract(sentence, pattern, 1), lambda s: F.when(s != "", F.struct(trimmed(s).alias("subject"), F.lit(name).alias("predicate"), trimmed(end).alias("object"))))
+        return F.when(F.regexp_like(sentence, F.lit(UNICODE + rf"\s({verbs})\s")), found).otherwise(none)
+
+    first = F.coalesce(*(whole(v, n) for v, n in STATEMENT_VERBS))
+    return _let(first, lambda x: F.when(F.length(x.subject).between(2, 50) & F.length(x.object).between(2, 80), x))
 
 
 def intent_hits(text: Column, store: str) -> Column:

@@ -79,15 +79,16 @@ def reach(triples: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
     """(start, entity, dist) within depth hops in either direction, the start at 0.
 
     A join of the frontier with the edges per hop; entities already reached are left out, so walks do not
-    multiply. A start that no edge touches reaches nothing.
+    multiply. The edges and each frontier are kept while the hops go on, not worked out again. A start that
+    no edge touches reaches nothing.
     """
     e = edges(triples)
-    both = e.select(F.col("subject").alias("u"), F.col("object").alias("v")).union(e.select("object", "subject")).distinct()
-    frontier = starts.select(F.col("entity").alias("start")).distinct().join(both.select(F.col("u").alias("start")).distinct(), "start", "left_semi").select("start", F.col("start").alias("entity"), F.lit(0).alias("dist"))
+    both = e.select(F.col("subject").alias("u"), F.col("object").alias("v")).union(e.select("object", "subject")).distinct().persist()
+    frontier = starts.select(F.col("entity").alias("start")).distinct().join(both.select(F.col("u").alias("start")).distinct(), "start", "left_semi").select("start", F.col("start").alias("entity"), F.lit(0).alias("dist")).persist()
     seen = frontier
     for hop in range(1, depth + 1):
         step = frontier.join(both, F.col("entity") == F.col("u")).select("start", F.col("v").alias("entity")).distinct()
-        frontier = step.join(seen, ["start", "entity"], "left_anti").withColumn("dist", F.lit(hop))
+        frontier = step.join(seen, ["start", "entity"], "left_anti").withColumn("dist", F.lit(hop)).persist()
         seen = seen.unionByName(frontier)
     return seen
 
