@@ -67,4 +67,28 @@ QUERIES = {
     "op9_licences": op9_licences,
     "op10_fingerprints": op10_fingerprints,
 }
-ORACLES: dict[str, str] = {}
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+ORACLES: dict[str, str] = {
+    "op2_repeats": """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+l AS (SELECT doc_id, list_transform(range(0, length(h) // 2 - 399), lambda i: md5(substr(h, 2 * i + 1, 800))) AS ws FROM d),
+s AS (SELECT doc_id, unnest(ws) AS w, unnest(range(0, len(ws))) AS i FROM l),
+r AS (SELECT w FROM s GROUP BY w HAVING count(*) > 1),
+f AS (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS p FROM s SEMI JOIN r USING (w)),
+g AS (SELECT *, sum(CASE WHEN p IS NULL OR i > p + 400 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM f),
+runs AS (SELECT doc_id, g, min(i) AS a, max(i) + 400 AS b FROM g GROUP BY doc_id, g),
+x AS (SELECT *, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS e FROM runs),
+k AS (SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans, string_agg(substr(h, 2 * e + 1, 2 * (a - e)), '' ORDER BY a) || substr(any_value(h), 2 * max(b) + 1) AS kept FROM x JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, length(h) // 2 AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)""",
+    "op7_decontamination": f"""
+WITH dw AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
+iw AS (SELECT item_id, ws FROM (SELECT item_id, {_WORDS} AS ws FROM benchmark) WHERE len(ws) > 0),
+win AS (SELECT DISTINCT item_id, least(10, len(ws)) AS n, array_to_string(ws[i:i + least(10, len(ws)) - 1], ' ') AS w FROM iw, LATERAL (SELECT unnest(range(1, greatest(1, len(ws) - 9) + 1)) AS i)),
+occ AS (SELECT doc_id, i, n, array_to_string(ws[i:i + n - 1], ' ') AS w FROM dw, (SELECT DISTINCT n FROM win), LATERAL (SELECT unnest(range(1, len(ws) - n + 2)) AS i)),
+hit AS (SELECT DISTINCT doc_id, i, n, item_id FROM occ JOIN win USING (n, w)),
+cov AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM hit) GROUP BY doc_id),
+its AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS ids FROM hit GROUP BY doc_id)
+SELECT doc_id, len(ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM dw LEFT JOIN cov USING (doc_id) LEFT JOIN its USING (doc_id)""",
+}

@@ -68,3 +68,18 @@ def test_registered():
     q = __spark_entry__.queries()
     assert "pipeline" in q and {k.split("_")[0] for k in q if k.startswith("op") and k[2].isdigit()} == {f"op{n}" for n in range(1, 11)}
     assert set(__spark_entry__.oracle_sql()) <= set(q)
+
+
+def test_oracles(spark):
+    import duckdb
+
+    from memspark.llm.registered import ORACLES, QUERIES
+
+    d, con = "/root/testdata/sf0.001", duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"create view {t} as select * from '{d}/{t}.parquet'")
+    for name, sql in ORACLES.items():
+        got, want = QUERIES[name](spark, d).toPandas(), con.execute(sql).df()
+        assert sorted(got.columns) == sorted(want.columns)
+        columns = sorted(got.columns)
+        assert sorted(map(tuple, got[columns].astype(str).values)) == sorted(map(tuple, want[columns].astype(str).values)), name
