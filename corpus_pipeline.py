@@ -14,18 +14,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from memspark.llm import byte_bpe, decontaminate, language_id, near_dups, repeats
-from memspark.llm.common import shared_dir, table
+from memspark.llm.common import by_ids, shared_dir, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
-def _kept(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The documents whose id is in ids, a null id included."""
-    return docs.join(ids.distinct(), docs["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi").select(*COLUMNS)
-
-
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects texts without a letter, and those no language takes with at least half of the probability."""
     rated = language_id.identify(docs, PIECES, keep=("text", "lang", "source", "n_chars"))
@@ -34,7 +29,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class stays: the one with the smallest id."""
-    return _kept(docs, near_dups.near_duplicates(docs).filter("is_kept").select("doc_id"))
+    return by_ids(docs, near_dups.near_duplicates(docs).filter("is_kept"), "left_semi").select(*COLUMNS)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,8 +43,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a window of a benchmark item go."""
     found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"))
-    leaks = found.filter("contaminated").select("doc_id").distinct()
-    return docs.join(leaks, docs["doc_id"].eqNullSafe(leaks["doc_id"]), "left_anti").select(*COLUMNS)
+    return by_ids(docs, found.filter("contaminated"), "left_anti").select(*COLUMNS)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

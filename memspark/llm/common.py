@@ -53,6 +53,17 @@ def picked(df: DataFrame, **columns: str) -> DataFrame:
     return df.select(*(F.col(f"`{c}`").alias(k) for k, c in columns.items()))
 
 
+#: Bytes of ids that may be broadcast.
+BROADCAST_BYTES = 32 << 20
+
+
+def by_ids(docs: DataFrame, ids: DataFrame, how: str, column: str = "doc_id") -> DataFrame:
+    """docs with (left_semi) or without (left_anti) the ids, null being an id too. Broadcast where the ids' checked size allows, so that no text is shuffled."""
+    ids = materialise(ids.select(F.col(column)).distinct(), "ids")
+    small = F.broadcast(ids) if ids.count() * 16 <= BROADCAST_BYTES else ids
+    return docs.join(small, docs[column].eqNullSafe(ids[column]), how)
+
+
 def crc_bucket(id_col, mod: int):
     """crc32 of the id as text, modulo mod; null for a null id."""
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % mod
