@@ -22,8 +22,12 @@ def unit(a: Column) -> Column:
 
 def cosine_distance(a: Column, b: Column) -> Column:
     """1 - cosine; 1 where a vector has length zero."""
-    n = norm(a) * norm(b)
-    return F.when(n == 0, F.lit(1.0)).otherwise(1 - dot(a, b) / n)
+    return distance_of(dot(a, b), norm(a) * norm(b))
+
+
+def distance_of(product: Column, lengths: Column) -> Column:
+    """From a dot product and the product of the lengths."""
+    return F.when(lengths == 0, F.lit(1.0)).otherwise(1 - product / lengths)
 
 
 def dimension_ok(a: Column, dim: int | Column) -> Column:

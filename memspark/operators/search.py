@@ -58,8 +58,11 @@ def nearest(candidates: DataFrame, queries: DataFrame, k: int | Column = 20, ext
     query in each task before the shuffle.
     """
     ok = vector.dimension_ok(F.col("embedding"), F.size("vec"))
-    pairs = candidates.join(query_batch(queries), ok if extra is None else ok & extra)
-    pairs = pairs.withColumn("dist", vector.cosine_distance(F.col("vec"), F.col("embedding"))).drop("embedding", "vec")
+    # lengths once a row, not once a pair
+    rows = candidates.withColumn("_n", vector.norm(F.col("embedding")))
+    asked = query_batch(queries.withColumn("_m", vector.norm(F.col("vec"))))
+    pairs = rows.join(asked, ok if extra is None else ok & extra)
+    pairs = pairs.withColumn("dist", vector.distance_of(vector.dot(F.col("vec"), F.col("embedding")), F.col("_m") * F.col("_n"))).drop("embedding", "vec", "_n", "_m")
     order = W.partitionBy("query_id").orderBy("dist", "id")
     return pairs.withColumn("near_rank", F.row_number().over(order)).filter(F.col("near_rank") <= k)
 
