@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import white_split
+from .text import UNICODE, white_split
 
 # Words that raise or lower importance (whole words, either case).
 HIGH_WORDS = "error fail crash critical urgent important always never prefer must require need expect password secret token key credential deadline due asap priority".split()
@@ -69,12 +69,12 @@ def importance_features(content: Column, memory_type: Column, access_count: Colu
     return F.array(
         by_type(memory_type, TYPE_VALUE),
         n / 100.0,
-        F.regexp_like(content, F.lit(VERSION)).cast("double"),
-        F.regexp_like(content, F.lit(METRIC)).cast("double"),
-        _share(F.regexp_count(content, F.lit(HIGH)), 5.0),
-        _share(F.regexp_count(content, F.lit(LOW)), 5.0),
+        F.regexp_like(content, F.lit("(?U)" + VERSION)).cast("double"),
+        F.regexp_like(content, F.lit(UNICODE + METRIC)).cast("double"),
+        _share(F.regexp_count(content, F.lit(UNICODE + HIGH)), 5.0),
+        _share(F.regexp_count(content, F.lit(UNICODE + LOW)), 5.0),
         _share(count(lambda w: F.regexp_like(w, F.lit(r"^\p{Lu}\p{L}+$"))), n),
-        _share(count(lambda w: F.regexp_like(w, F.lit(r"\d"))), n),
+        _share(count(lambda w: F.regexp_like(w, F.lit(r"(?U)\d"))), n),
         _share(count(lambda w: F.regexp_replace(F.lower(w), r"[.,;:()]+$", "").isin(TECH_TERMS)), 5.0),
         F.log1p(access_count.cast("double")),
         F.exp(-F.greatest(F.lit(0.0), recency_hours) / 48.0),
@@ -82,7 +82,7 @@ def importance_features(content: Column, memory_type: Column, access_count: Colu
 
 
 def heuristic_importance(content: Column, memory_type: Column, access_count: Column, recency_hours: Column) -> Column:
-    words = F.least(F.lit(0.25), F.regexp_count(content, F.lit(HIGH)) * 0.05) - F.least(F.lit(0.15), F.regexp_count(content, F.lit(LOW)) * 0.03)
+    words = F.least(F.lit(0.25), F.regexp_count(content, F.lit(UNICODE + HIGH)) * 0.05) - F.least(F.lit(0.15), F.regexp_count(content, F.lit(UNICODE + LOW)) * 0.03)
     access = F.when(access_count <= 0, F.lit(0.0)).otherwise(F.least(F.lit(0.15), 0.05 * F.log1p(access_count.cast("double"))))
     fresh = F.when(recency_hours <= 0, F.lit(0.05)).when(recency_hours >= 48, F.lit(0.0)).otherwise(0.05 * (1 - recency_hours / 48.0))
     return clamp(by_type(memory_type, TYPE_BASE) + words + access + fresh)

@@ -100,11 +100,11 @@ def capitalised_words(text: Column) -> Column:
 
 
 def has_question(text: Column) -> Column:
-    return F.regexp_like(text, F.lit(r"(?U)\?\s*$")) | F.regexp_like(text, F.lit(rf"(?i)\b({QUESTION_WORDS})\b"))
+    return F.regexp_like(text, F.lit(r"(?U)\?\s*$")) | F.regexp_like(text, F.lit(UNICODE + rf"\b({QUESTION_WORDS})\b"))
 
 
 def has_negation(text: Column) -> Column:
-    return F.regexp_like(text, F.lit(rf"(?i)\b({NEGATIONS})\b"))
+    return F.regexp_like(text, F.lit(UNICODE + rf"\b({NEGATIONS})\b"))
 
 
 def text_metadata(text: Column) -> Column:

@@ -16,7 +16,7 @@ def keyword_score(context: Column, expected: Column) -> Column:
 
 
 def cleaned(answer: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(answer), r"[^\w\s]", ""))
+    return F.trim(F.regexp_replace(F.lower(answer), r"(?U)[^\w\s]", ""))
 
 
 def exact_match(answer: Column, expected: Column) -> Column:

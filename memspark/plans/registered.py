@@ -232,21 +232,21 @@ m AS (SELECT id, agent_id, {_STRIP(_CASE(lambda v, n: f"regexp_extract(s, '{_SPO
 st AS (SELECT * FROM m WHERE predicate IS NOT NULL AND length(subject) BETWEEN 2 AND 50 AND length(object) BETWEEN 2 AND 80)"""
 
 
-def _ascii_episodes(spark: SparkSession, d: str) -> DataFrame:
-    rows = V.read(spark, d, "documents").filter(F.regexp_like("text", F.lit(r"\A[\x00-\x7F]*\z")))
-    return rows.select(F.col("doc_id").alias("id"), F.col("source").alias("agent_id"), F.col("text").alias("content"))
+def _episodes(spark: SparkSession, d: str) -> DataFrame:
+    """All documents, null texts as empty ones."""
+    return V.read(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("agent_id"), F.coalesce("text", F.lit("")).alias("content"))
 
 
 @query(f"WITH {STATEMENTS} SELECT id, subject, predicate, object, count(*) AS n FROM st GROUP BY ALL")
 def statement_extraction(spark: SparkSession, d: str) -> DataFrame:
-    return maintain.extract_statements(_ascii_episodes(spark, d)).groupBy("id", "subject", "predicate", "object").agg(F.count("*").alias("n"))
+    return maintain.extract_statements(_episodes(spark, d)).groupBy("id", "subject", "predicate", "object").agg(F.count("*").alias("n"))
 
 
 @query(f"""WITH {STATEMENTS}, c AS (SELECT agent_id, count(*) AS episodes FROM d GROUP BY agent_id),
 g AS (SELECT agent_id, lower(subject) AS subject, predicate, lower(object) AS object, count(*) AS n, count(DISTINCT id) AS sources FROM st GROUP BY ALL HAVING count(*) >= 2)
 SELECT agent_id, subject, predicate, object, n, sources, round(least(1.0, n / greatest(1.0, episodes * 0.3::DOUBLE)), 6) AS confidence FROM g JOIN c USING (agent_id)""")
 def consolidation(spark: SparkSession, d: str) -> DataFrame:
-    return maintain.recurring_statements(_ascii_episodes(spark, d), None).select("agent_id", "subject", "predicate", "object", "n", F.size("source_episodes").cast("bigint").alias("sources"), r6(F.col("confidence"), "confidence"))
+    return maintain.recurring_statements(_episodes(spark, d), None).select("agent_id", "subject", "predicate", "object", "n", F.size("source_episodes").cast("bigint").alias("sources"), r6(F.col("confidence"), "confidence"))
 
 
 @query("SELECT source AS agent_id, count(*) AS n FROM documents GROUP BY source HAVING count(*) >= 10")
@@ -264,7 +264,7 @@ SELECT doc_id, {TOKENS.format('text')} AS token_count, len(w) AS word_count,
   array_to_string(list_transform(list_slice(list_filter(list_slice(w, 2, len(w)), lambda x: regexp_matches(x, '^[A-Z]') AND regexp_matches(x, '[a-z]') AND length(x) > 1), 1, 10), lambda x: trim(x, '.,!?;:"''')), ' ') AS entities,
   regexp_matches(text, '\\?\\s*$') OR regexp_matches(text, '(?i)\\b({text.QUESTION_WORDS})\\b') AS has_question, regexp_matches(text, '(?i)\\b({text.NEGATIONS.replace("'", "''")})\\b') AS has_negation FROM w""")
 def text_metadata(spark: SparkSession, d: str) -> DataFrame:
-    rows = _ascii_episodes(spark, d)
+    rows = _episodes(spark, d)
     m = rows.select(F.col("id").alias("doc_id"), text.text_metadata(F.col("content")).alias("m")).select("doc_id", "m.*")
     return m.withColumn("entities", F.array_join("entities", " "))
 
@@ -276,7 +276,7 @@ KIND = "CASE k WHEN 0 THEN {0} WHEN 1 THEN {1} ELSE {2} END"
 
 def _typed(spark: SparkSession, d: str) -> DataFrame:
     kind = F.element_at(F.array(*map(F.lit, ("episodic", "semantic", "procedural"))), (F.col("id") % 3 + 1).cast("int"))
-    return _ascii_episodes(spark, d).select(F.col("id").alias("doc_id"), "content", kind.alias("memory_type"), (F.col("id") % 7).alias("access_count"), (F.col("id") % 60).cast("double").alias("recency_hours"))
+    return _episodes(spark, d).select(F.col("id").alias("doc_id"), "content", kind.alias("memory_type"), (F.col("id") % 7).alias("access_count"), (F.col("id") % 60).cast("double").alias("recency_hours"))
 
 
 @query(f"""WITH {ASCII_DOCS}, w AS (SELECT *, {WS} AS w, greatest(1, len({WS}))::DOUBLE AS n FROM d)
@@ -429,7 +429,7 @@ OVERLAP = f"SELECT *, CASE WHEN len({_W.format('expected')}) = 0 THEN 0 ELSE len
 
 
 def _turns(spark: SparkSession, d: str) -> DataFrame:
-    c = V.read(spark, d, "conversations").filter(F.regexp_like("text", F.lit(r"\A[\x00-\x7F]*\z")))
+    c = V.read(spark, d, "conversations").withColumn("text", F.coalesce("text", F.lit("")))
     b = c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("expected"))
     return c.withColumnRenamed("text", "answer").join(b, ["conv_id", "turn"]).withColumn("overlap", evaluate.token_overlap(F.col("answer"), F.col("expected"))).withColumn("exact", evaluate.exact_match(F.col("answer"), F.col("expected")))
 
