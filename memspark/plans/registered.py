@@ -418,9 +418,10 @@ def vector_topk_approximate(spark: SparkSession, d: str) -> DataFrame:
 @query("""WITH e AS (SELECT item_id, text, list_slice(regexp_split_to_array(text, '\\s+'), 1, 5) AS expected FROM benchmark)
 SELECT e.item_id, d.doc_id, round(len(list_filter(expected, lambda k: contains(lower(d.text), lower(k))))::DOUBLE / len(expected), 6) AS score FROM e JOIN documents d ON d.doc_id % 40 = e.item_id % 40""")
 def eval_keywords(spark: SparkSession, d: str) -> DataFrame:
+    """Every benchmark item against every document."""
     e = V.read(spark, d, "benchmark").select("item_id", F.slice(F.split("text", r"\s+"), 1, 5).alias("expected"))
     docs = V.read(spark, d, "documents").select("doc_id", "text")
-    return docs.join(F.broadcast(e.limit(10_000)), F.col("doc_id") % 40 == F.col("item_id") % 40).select("item_id", "doc_id", r6(evaluate.keyword_score(F.col("text"), F.col("expected")), "score"))
+    return evaluate.keyword_scores(docs, e).select("item_id", "doc_id", r6(F.col("score"), "score"))
 
 
 _W = "list_distinct(list_filter(regexp_split_to_array(lower({0}), '\\s+'), lambda w: w <> ''))"

@@ -11,6 +11,7 @@ import duckdb
 import pytest
 
 from memspark.functions import score, text
+from memspark.operators import evaluate
 from memspark.plans import registered
 
 DATA = "/root/testdata/sf0.001"
@@ -131,3 +132,18 @@ def test_plain_documents_as_in_sql(spark, duck, name):
 def test_plain_turns_as_in_sql(spark, duck):
     plain = {(c, n) for c, n, t in duck.execute("select conv_id, turn, text from conversations").fetchall() if t.isascii()}
     agrees(spark, duck, "eval_overlap", lambda r: {(r["conv_id"], r["turn"]), (r["conv_id"], r["turn"] + 1)} <= plain)
+
+
+def test_keywords_of_all_pairs(spark, tables):
+    items = [(i, f"{a} {b} the Error x y") for i, (a, b) in enumerate([("Éva", "CAFÉ"), ("clé", "años"), ("zz", "zz"), ("tea", "12"), ("ÜBER", "v1.2")])]
+    write(spark, tables, "benchmark", items, "item_id bigint, text string")
+    want = {(i, d): round(sum(k.lower() in (t or "").lower() for k in x.split()[:5]) / 5, 6) for i, x in items for d, t, _, _ in DOCS}
+    assert {(r["item_id"], r["doc_id"]): r["score"] for r in run(spark, "eval_keywords", tables)} == want
+    e = spark.createDataFrame([(i, x.split()[:5]) for i, x in items], "item_id bigint, expected array<string>")
+    docs = spark.createDataFrame([(d, t) for d, t, _, _ in DOCS], "doc_id bigint, text string")
+    blocks = evaluate.keyword_scores(docs, e, block_bytes=200).collect()
+    assert len(blocks) == len(want) and {(r.item_id, r.doc_id): round(r.score, 6) for r in blocks} == want
+
+
+def test_keywords_of_a_class_as_in_sql(spark, duck):
+    agrees(spark, duck, "eval_keywords", lambda r: r["doc_id"] % 40 == r["item_id"] % 40)
