@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from memspark.llm import byte_bpe, decontaminate, language_id, near_dups, repeats
-from memspark.llm.common import by_ids, shared_dir, table
+from memspark.llm.common import by_rows, materialise, one_each, shared_dir, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -28,8 +28,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class stays: the one with the smallest id."""
-    return by_ids(docs, near_dups.near_duplicates(docs).filter("is_kept"), "left_semi").select(*COLUMNS)
+    """One row of each class stays: one with the smallest id."""
+    return one_each(docs.select(*COLUMNS), near_dups.kept_rows(docs))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,8 +42,9 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a window of a benchmark item go."""
-    found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"))
-    return by_ids(docs, found.filter("contaminated"), "left_anti").select(*COLUMNS)
+    found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"), with_hash=True)
+    leaks = materialise(found.filter("contaminated").select(F.col("doc_id").alias("id"), "h").distinct(), "leaks")
+    return by_rows(docs, leaks, "left_anti").select(*COLUMNS)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -53,15 +53,31 @@ def picked(df: DataFrame, **columns: str) -> DataFrame:
     return df.select(*(F.col(f"`{c}`").alias(k) for k, c in columns.items()))
 
 
-#: Bytes of ids that may be broadcast.
+#: Bytes of row keys that may be broadcast.
 BROADCAST_BYTES = 32 << 20
 
 
-def by_ids(docs: DataFrame, ids: DataFrame, how: str, column: str = "doc_id") -> DataFrame:
-    """docs with (left_semi) or without (left_anti) the ids, null being an id too. Broadcast where the ids' checked size allows, so that no text is shuffled."""
-    ids = materialise(ids.select(F.col(column)).distinct(), "ids")
-    small = F.broadcast(ids) if ids.count() * 16 <= BROADCAST_BYTES else ids
-    return docs.join(small, docs[column].eqNullSafe(ids[column]), how)
+def text_hash(column: str = "text"):
+    """The hash that tells rows of one id apart; null is as the empty text."""
+    return F.xxhash64(F.coalesce(F.col(column), F.lit("")))
+
+
+def by_rows(docs: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+    """docs with their hash h, joined by how with keys (id, h and others): equal are the id, null being one too, and the text. Broadcast where the keys' checked size allows, so that no text is shuffled."""
+    small = F.broadcast(keys) if keys.count() * 24 <= BROADCAST_BYTES else keys
+    d, k = docs.withColumn("h", text_hash()).alias("d"), small.alias("k")
+    return d.join(k, F.col("d.doc_id").eqNullSafe(F.col("k.id")) & (F.col("d.h") == F.col("k.h")), how)
+
+
+def one_each(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    """One row of docs for each of the distinct (id, h, copies) in kept; rows that copy another are merged, the others not shuffled."""
+    kept, names = materialise(kept, "kept"), docs.columns
+    rows = by_rows(docs, kept, "inner").select(*(f"d.{c}" for c in names), "k.h", "k.copies")
+    if kept.filter("copies > 1").isEmpty():
+        return rows.select(*names)
+    least = F.min(F.struct(*(c for c in names if c != "doc_id"))).alias("x")
+    merged = rows.filter("copies > 1").groupBy("doc_id", "h").agg(least).select("doc_id", "x.*").select(*names)
+    return rows.filter("copies = 1").select(*names).unionByName(merged)
 
 
 def crc_bucket(id_col, mod: int):

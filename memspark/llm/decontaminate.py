@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import winnow
-from .common import WORD, materialise, picked
+from .common import WORD, materialise, picked, text_hash
 
 #: What may be broadcast, in rows of about 40 bytes; beyond it the joins shuffle.
 BROADCAST_ROWS = 500_000
@@ -62,9 +62,9 @@ def _grams(h: Column, m: int) -> Column:
     return F.when(F.size(h) >= m, every).otherwise(F.array().cast("array<bigint>"))
 
 
-def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", span: int = 10, k: int = 5) -> DataFrame:
-    """(id, n_words, n_hit, n_items, items_sha256, contaminated) of every document."""
-    docs = picked(docs, id=id_col, text=text_col).withColumn("h", F.xxhash64(F.coalesce("text", F.lit(""))))
+def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", span: int = 10, k: int = 5, with_hash: bool = False) -> DataFrame:
+    """(id[, h: the text's hash], n_words, n_hit, n_items, items_sha256, contaminated) of every document."""
+    docs = picked(docs, id=id_col, text=text_col).withColumn("h", text_hash())
     bench = materialise(picked(items, item=item_col, text=item_text_col).select(F.col("item").cast("string").alias("item"), words(F.col("text")).alias("ws")).filter(F.size("ws") > 0), "items")
     stats = bench.agg(F.count("*").alias("n"), F.sum(F.size("ws")).alias("words"), F.collect_set(F.when(F.size("ws") < span, F.size("ws"))).alias("short")).first()
 
@@ -103,5 +103,5 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     same = F.col("b.id").eqNullSafe(F.col("r.id")) & (F.col("b.h") == F.col("r.h"))
     ids = F.coalesce(F.col("r.items"), F.array().cast("array<string>"))
     return base.alias("b").join(real.alias("r"), same, "left").select(
-        F.col("b.id").alias(id_col), "n_words", F.coalesce("r.n_hit", F.lit(0)).cast("long").alias("n_hit"), F.size(ids).cast("long").alias("n_items"), F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"), F.coalesce(F.col("r.n_hit") > 0, F.lit(False)).alias("contaminated")
+        F.col("b.id").alias(id_col), *(["b.h"] if with_hash else []), "n_words", F.coalesce("r.n_hit", F.lit(0)).cast("long").alias("n_hit"), F.size(ids).cast("long").alias("n_items"), F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"), F.coalesce(F.col("r.n_hit") > 0, F.lit(False)).alias("contaminated")
     )

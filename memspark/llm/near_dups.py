@@ -29,9 +29,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import materialise, picked, texts_of
+from .common import materialise, picked, text_hash, texts_of
 from .licences import words_of
 
 #: Upper ranks of the strips darts are thrown in; what lies beyond doubles.
@@ -329,8 +330,22 @@ def _bucketwise(members: DataFrame, sets: DataFrame, threshold: float, counts: b
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", bands: int = 32, rows: int = 6, shingle: int = 5, threshold: float = 0.8, counts: bool = False, local: int = 3000, star_rounds: int = 3, star_centres: int = 4) -> DataFrame:
-    """(id, class_id, class_size, is_kept) of every row: class_id is the smallest id of the class, and the row with that id is kept."""
-    docs = picked(df, id=id_col, text=text_col).withColumn("h", F.xxhash64("text"))
+    """(id, class_id, class_size, is_kept) of every row: class_id is the smallest id of the class, and one row with that id is kept."""
+    whole = classes(df, id_col, text_col, bands, rows, shingle, threshold, counts, local, star_rounds, star_centres)
+    # of the rows that are the kept one's copies, by id and text, one
+    turn = F.row_number().over(W.partitionBy("id", "h").orderBy("root"))
+    out = lambda rows, kept: rows.select(F.col("id").alias(id_col), "class_id", "class_size", kept.alias("is_kept"))
+    return out(whole.filter("NOT is_first"), F.lit(False)).unionByName(out(whole.filter("is_first").withColumn("_t", turn), F.col("_t") == 1))
+
+
+def kept_rows(df: DataFrame) -> DataFrame:
+    """(id, h, copies): id and text hash of the row that each class keeps, and how many rows of the input are that one."""
+    return classes(df).filter("is_first").groupBy("id", "h").agg(F.count("*").alias("copies"))
+
+
+def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", bands: int = 32, rows: int = 6, shingle: int = 5, threshold: float = 0.8, counts: bool = False, local: int = 3000, star_rounds: int = 3, star_centres: int = 4) -> DataFrame:
+    """(id, h, root, class_id, class_size, is_first) of every row; is_first: id and text are those that the class keeps."""
+    docs = picked(df, id=id_col, text=text_col).withColumn("h", text_hash())
     sketches = materialise(sketch(docs, bands, rows, shingle, counts), "sketches")
     each = sketches.filter("n > 0").select("cls", F.explode("bands").alias("key"))
     # buckets with company of another set; a key says its band too. Copies of a set weigh nothing here
@@ -350,9 +365,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         those = block.join(large, "block", "left_semi").select(F.col("node").alias("cls"))
         root = root.unionByName(_bucketwise(members.join(those, "cls", "left_semi"), sets, threshold, counts, star_rounds, star_centres))
     root = materialise(root, "roots")
-    whole = sketches.select("id", "cls").join(root, F.col("cls") == F.col("node"), "left").select("id", F.coalesce("root", "cls").alias("root"))
+    whole = sketches.select("id", "h", "cls").join(root, F.col("cls") == F.col("node"), "left").select("id", "h", F.coalesce("root", "cls").alias("root"))
     whole = materialise(whole, "classes")
-    names = whole.groupBy("root").agg(F.min("id").alias("class_id"), F.count("*").alias("class_size"))
-    first = whole.join(names, "root").select(F.col("id").alias(id_col), "class_id", "class_size", F.col("id").eqNullSafe(F.col("class_id")).alias("is_kept"))
-    return first
-
+    least = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "h")).alias("x")
+    names = whole.groupBy("root").agg(F.min("id").alias("class_id"), F.count("*").alias("class_size"), least).select("root", "class_id", "class_size", F.col("x.h").alias("kept_h"))
+    return whole.join(names, "root").select("id", "h", "root", "class_id", "class_size", (F.col("id").eqNullSafe(F.col("class_id")) & (F.col("h") == F.col("kept_h"))).alias("is_first"))
