@@ -187,7 +187,7 @@ def procedure_ranked(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH d AS (SELECT doc_id, text FROM documents WHERE lang = 'en'), w AS (SELECT doc_id, {WORDS.format('text')} AS ws FROM d) SELECT doc_id, array_to_string({FIRST.format('ws')}, ' ') AS keywords FROM w")
 def keyword_extraction(spark: SparkSession, d: str) -> DataFrame:
-    return V.read(spark, d, "documents").filter("lang = 'en'").select("doc_id", F.array_join(text.keywords(F.col("text")), " ").alias("keywords"))
+    return V.read(spark, d, "documents").select("doc_id", F.array_join(text.keywords(F.col("text")), " ").alias("keywords"))
 
 
 @query(f"""WITH {V.PROCS} SELECT id, 'Procedure ''' || name || ''': ' || description || '. Steps: ' || array_to_string(list_transform(contexts, lambda c: 'check ' || c || CASE WHEN length(c) % 2 = 0 THEN ' (' || lower(c) || ')' ELSE '' END), ' → ') AS content FROM procs""")
@@ -450,7 +450,7 @@ qq AS (SELECT query_id, len(w) AS n, unnest(w) AS word FROM q), s AS (SELECT que
 SELECT query_id, id, round(overlap, 6) AS overlap FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY overlap DESC, id) AS r FROM s) WHERE r = 1""")
 def eval_best_overlap(spark: SparkSession, d: str) -> DataFrame:
     q = V.read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    m = V.read(spark, d, "documents").filter("lang = 'en'").select(F.col("doc_id").alias("id"), F.col("text").alias("content"))
+    m = V.read(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"))
     return evaluate.best_by_overlap(q, m).select("query_id", "id", r6(F.col("overlap"), "overlap"))
 
 
@@ -468,7 +468,7 @@ def item_ids(spark: SparkSession, d: str) -> DataFrame:
 @query("""WITH i AS (SELECT doc_id, [source, lang, CAST(doc_id % 3 AS VARCHAR)] AS ns FROM documents WHERE lang <> 'de'), g AS (SELECT list_slice(ns, 1, 2) AS ns, min(doc_id) AS first FROM i WHERE ns[3] = '1' GROUP BY 1)
 SELECT array_to_string(ns, '/') AS namespace, first FROM g""")
 def namespace_listing(spark: SparkSession, d: str) -> DataFrame:
-    i = V.read(spark, d, "documents").filter("lang <> 'de'").select(F.array("source", "lang", (F.col("doc_id") % 3).cast("string")).alias("namespace"), F.col("doc_id").alias("created_at"), F.col("doc_id").alias("id"))
+    i = V.read(spark, d, "documents").select(F.array("source", "lang", (F.col("doc_id") % 3).cast("string")).alias("namespace"), F.col("doc_id").alias("created_at"), F.col("doc_id").alias("id"))
     return adapters.namespaces(i, suffix=("1",), max_depth=2).select(F.array_join("namespace", "/").alias("namespace"), F.col("first.id").alias("first"))
 
 

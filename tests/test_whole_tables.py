@@ -147,3 +147,23 @@ def test_keywords_of_all_pairs(spark, tables):
 
 def test_keywords_of_a_class_as_in_sql(spark, duck):
     agrees(spark, duck, "eval_keywords", lambda r: r["doc_id"] % 40 == r["item_id"] % 40)
+
+
+def test_keyword_extraction_reads_all_languages(spark, tables):
+    trim = lambda w: re.sub(r"^[?.!,;:'\"()]+|[?.!,;:'\"()]+$", "", w).lower()
+    want = {i: " ".join(list(dict.fromkeys(w for w in map(trim, t.split()) if len(w) >= 4 and w not in text.STOP_WORDS))[:8]) if t is not None else None for i, t, _, _ in DOCS}
+    assert {r["doc_id"]: r["keywords"] for r in run(spark, "keyword_extraction", tables)} == want
+
+
+def test_best_overlap_and_namespaces_of_all_languages(spark, tmp_path):
+    d = str(tmp_path)
+    docs = [(1, "red green", "en", "a"), (4, "Red GREEN élan", "de", "a"), (7, "red green élan vert", None, "b"), (10, "other", "fr", "c")]
+    write(spark, d, "documents", [(*r, len(r[1])) for r in docs], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    write(spark, d, "benchmark", [(0, "red green ÉLAN vert"), (1, "red green élan"), (2, "none")], "item_id bigint, text string")
+    assert sorted((r["query_id"], r["id"], r["overlap"]) for r in run(spark, "eval_best_overlap", d)) == [(0, 7, 1.0), (1, 4, 1.0)]
+    assert sorted((r["namespace"], r["first"]) for r in run(spark, "namespace_listing", d)) == [("a/de", 4), ("a/en", 1), ("b", 7), ("c/fr", 10)]
+
+
+def test_english_keywords_as_in_sql(spark, duck):
+    english = {i for (i,) in duck.execute("select doc_id from documents where lang = 'en'").fetchall()}
+    agrees(spark, duck, "keyword_extraction", lambda r: r["doc_id"] in english)
