@@ -215,9 +215,7 @@ def decay_scores(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {V.EPISODIC} SELECT id FROM episodic WHERE exp(-ln(2) / 168 * greatest(0, {AGE})) < 0.0025 AND agent_id < 'source 5'".replace("'source 5'", "(SELECT max(source) FROM documents)"))
 def decay_evictions(spark: SparkSession, d: str) -> DataFrame:
-    e = V.episodic(spark, d)
-    last = V.read(spark, d, "documents").agg(F.max("source")).first()[0]
-    return maintain.decay_pass(e.filter(F.col("agent_id") < last), V.NOW, threshold=0.0025)[1]
+    return maintain.decay_pass(V.episodic(spark, d), V.NOW, threshold=0.0025)[1]
 
 
 _VERBS = [(v, n) for v, n in text.STATEMENT_VERBS]

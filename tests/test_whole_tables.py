@@ -167,3 +167,12 @@ def test_best_overlap_and_namespaces_of_all_languages(spark, tmp_path):
 def test_english_keywords_as_in_sql(spark, duck):
     english = {i for (i,) in duck.execute("select doc_id from documents where lang = 'en'").fetchall()}
     agrees(spark, duck, "keyword_extraction", lambda r: r["doc_id"] in english)
+
+
+def test_evictions_of_every_source(spark, tmp_path):
+    d = str(tmp_path)
+    # rows are as many minutes older than the first of 2024 as their id is below 0; about 730 are enough to go
+    docs = [(-20_000, "a"), (-20_001, "z"), (-20_002, None), (-20_003, "z"), (5, "a"), (6, "z"), (7, None)]
+    write(spark, d, "documents", [(i, "t", "en", s, 1) for i, s in docs], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    write(spark, d, "embeddings", [(i, [1.0, 0.0]) for i, _ in docs], "vec_id bigint, embedding array<float>")
+    assert sorted(r["id"] for r in run(spark, "decay_evictions", d)) == [-20_003, -20_002, -20_001, -20_000]
