@@ -35,8 +35,8 @@ from .winnow import let
 
 LONG_WORD = 256
 #: Words of the dictionary at most, and their bytes.
-DICTIONARY, DICTIONARY_WORD = 400_000, 48
-RANK_BUCKETS, WORD_BUCKETS = 1 << 14, 1 << 17
+DICTIONARY, DICTIONARY_WORD = 1 << 19, 48
+RANK_BUCKETS, WORD_BUCKETS = 1 << 16, 1 << 18
 #: A pair's rank stands above PLACE_BITS bits of its place; NO_RANK is beyond all ranks.
 PLACE_BITS, NO_RANK = 20, 1 << 30
 _WHITE, _BLACK = r"\p{IsWhite_Space}", r"\P{IsWhite_Space}"
@@ -116,12 +116,13 @@ def fold(word: Column, ranks: Column) -> Column:
         part = lambda a, b: F.substring(w, a, b - a)
 
         def merge(x, k):
-            one = lambda v, j: F.when((j == k) | (j == k - 1), let(place(v), lambda a: pair(rank(part(a, place(F.get(x, j + 3)))), a))).otherwise(v)
-            return F.filter(F.transform(x, one), lambda _, j: j != k + 1)
+            """The pair at place k + 1 (from 0) becomes one part; the pairs that begin at k and k + 1 change."""
+            one = lambda v, j: F.when(F.shiftright(j - k, 1) == 0, let(place(v), lambda a: pair(rank(part(a, place(F.get(x, j + 3)))), a))).otherwise(v)
+            return F.array_remove(F.transform(x, one), F.get(x, k + 2))
 
         def step(x, _):
             # not by one let around both arms: it would copy the array of every step that does nothing
-            return F.when(F.array_min(x) >= F.lit(NO_RANK << PLACE_BITS), x).otherwise(let((F.array_position(x, F.array_min(x)) - 1).cast("int"), lambda k: merge(x, k)))
+            return F.when(F.array_min(x) >= F.lit(NO_RANK << PLACE_BITS), x).otherwise(let((F.array_position(x, F.array_min(x)) - 2).cast("int"), lambda k: merge(x, k)))
 
         parts = F.transform(F.sequence(F.lit(1), F.length(w) + 1), lambda i: pair(F.when(i < F.length(w), rank(F.substring(w, i, F.lit(2)))), i))
         ended = F.aggregate(F.sequence(F.lit(2), F.length(w)), parts, step)
