@@ -33,25 +33,25 @@ def r6(c, name: str):
 DIST = "list_cosine_distance(q.vec, e.embedding)"
 
 
-@query(f"""WITH {V.EPISODIC}, {V.QUERIES}, h AS (SELECT query_id, id, {DIST} AS dist FROM queries q, episodic e)
+@query(f"""WITH {V.EPISODIC}, {V.QUERIES}, h AS (SELECT query_id, id, {DIST} AS dist FROM queries q JOIN episodic e ON e.embedding IS NOT NULL)
 SELECT query_id, id, round(dist, 6) AS dist, r AS near_rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dist, id) AS r FROM h) WHERE r <= 5""")
 def vector_topk(spark: SparkSession, d: str) -> DataFrame:
     return search.nearest(V.episodic(spark, d).select("id", "embedding"), V.query_batch(spark, d).select("query_id", "vec"), 5).select("query_id", "id", r6(F.col("dist"), "dist"), F.col("near_rank").cast("bigint").alias("near_rank"))
 
 
-@query(f"""WITH {V.EPISODIC}, {V.QUERIES}, h AS (SELECT query_id, id, {DIST} AS dist FROM queries q, episodic e
-  WHERE (agent_id = q.agent OR scope IN ('team','org')) AND importance >= 0.4 AND created_at BETWEEN TIMESTAMP '2024-01-01 01:00:00' AND TIMESTAMP '2024-01-01 07:00:00')
+@query(f"""WITH {V.EPISODIC}, {V.QUERIES}, h AS (SELECT query_id, id, {DIST} AS dist FROM queries q JOIN episodic e ON e.embedding IS NOT NULL
+  WHERE (agent_id = q.agent OR scope IN ('team','org')) AND importance >= 0.4 AND created_at BETWEEN TIMESTAMP '2024-01-08' AND TIMESTAMP '2024-01-15')
 SELECT query_id, id, round(dist, 6) AS dist, r AS near_rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dist, id) AS r FROM h) WHERE r <= 5""")
 def vector_topk_filtered(spark: SparkSession, d: str) -> DataFrame:
     import datetime as dt
 
-    keep = search.candidate_filter(F.col("agent_id"), None, 0.4, dt.datetime(2024, 1, 1, 1), dt.datetime(2024, 1, 1, 7))
+    keep = search.candidate_filter(F.col("agent_id"), None, 0.4, dt.datetime(2024, 1, 8), dt.datetime(2024, 1, 15))
     found = V.episodic(spark, d).filter(keep).select("id", "embedding", "agent_id", "scope")
     hits = search.nearest(found, V.query_batch(spark, d).select("query_id", "vec", F.col("agent").alias("_agent")), 5, search.visible(F.col("_agent")))
     return hits.select("query_id", "id", r6(F.col("dist"), "dist"), F.col("near_rank").cast("bigint").alias("near_rank"))
 
 
-RECALL = f"""WITH {V.EPISODIC}, {V.QUERIES}, h AS (SELECT query_id, e.*, {DIST} AS dist FROM queries q, episodic e WHERE agent_id = q.agent OR scope IN ('team','org')),
+RECALL = f"""WITH {V.EPISODIC}, {V.QUERIES}, h AS (SELECT query_id, e.*, {DIST} AS dist FROM queries q JOIN episodic e ON e.embedding IS NOT NULL WHERE agent_id = q.agent OR scope IN ('team','org')),
 near AS (SELECT *, importance * decay_score AS eff FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dist, id) AS r FROM h) WHERE r <= 20),
 pos AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY eff DESC, dist, id) AS pos, count(*) OVER (PARTITION BY query_id) AS n FROM near),
 scored AS (SELECT query_id, id, content, pos, 0.8 * eff + 0.2 * (1 - (pos - 1)::DOUBLE / greatest(1, n)) AS score FROM pos)"""
@@ -166,7 +166,9 @@ def procedure_listing(spark: SparkSession, d: str) -> DataFrame:
 
 STOP = "[" + ",".join(f"'{w}'" for w in text.STOP_WORDS) + "]"
 #: Distinct words in the order they first stand.
-WORDS = "list_filter(list_transform(regexp_split_to_array({0}, '\\s+'), lambda w: lower(trim(w, '?.!,;:''\"()'))), lambda w: length(w) >= 4 AND NOT list_contains(" + STOP + ", w))"
+#: White space and word characters beyond ASCII too, for a regular expression engine whose own classes are ASCII.
+SPACE, WORD_CHARS = "[\\s\\x0b\\x85\\p{{Z}}]+", "\\p{{L}}\\p{{M}}\\p{{Nd}}\\p{{Nl}}"
+WORDS = "list_filter(list_transform(regexp_split_to_array({0}, '" + SPACE + "'), lambda w: lower(trim(w, '?.!,;:''\"()'))), lambda w: length(w) >= 4 AND NOT list_contains(" + STOP + ", w))"
 FIRST = "list_slice(list_filter({0}, lambda w, i: list_position({0}, w) = i), 1, 8)"
 HINTS = ("how to check a blue WIDGET after the promo", "standard ring? what about Brand#1", "gizmo (small), gizmo; LARGE gear", "zz", "bolt")
 HINT_ROWS = ", ".join(f"({i}, '{h}')" for i, h in enumerate(HINTS))
@@ -185,7 +187,7 @@ def procedure_ranked(spark: SparkSession, d: str) -> DataFrame:
     return procedures.best(V.procs(spark, d), _asked(spark), 20).select("query_id", "id", "matches", F.col("pos").cast("bigint").alias("pos"))
 
 
-@query(f"WITH d AS (SELECT doc_id, text FROM documents WHERE lang = 'en'), w AS (SELECT doc_id, {WORDS.format('text')} AS ws FROM d) SELECT doc_id, array_to_string({FIRST.format('ws')}, ' ') AS keywords FROM w")
+@query(f"WITH w AS (SELECT doc_id, {WORDS.format('text')} AS ws FROM documents) SELECT doc_id, array_to_string({FIRST.format('ws')}, ' ') AS keywords FROM w")
 def keyword_extraction(spark: SparkSession, d: str) -> DataFrame:
     return V.read(spark, d, "documents").select("doc_id", F.array_join(text.keywords(F.col("text")), " ").alias("keywords"))
 
@@ -213,21 +215,30 @@ def decay_scores(spark: SparkSession, d: str) -> DataFrame:
     return V.episodic(spark, d).select("id", F.round(score.decay(hours), 9).alias("decay_score"))
 
 
-@query(f"WITH {V.EPISODIC} SELECT id FROM episodic WHERE exp(-ln(2) / 168 * greatest(0, {AGE})) < 0.0025 AND agent_id < 'source 5'".replace("'source 5'", "(SELECT max(source) FROM documents)"))
+@query(f"WITH {V.EPISODIC} SELECT id FROM episodic WHERE {DECAY} < 0.003")
 def decay_evictions(spark: SparkSession, d: str) -> DataFrame:
-    return maintain.decay_pass(V.episodic(spark, d), V.NOW, threshold=0.0025)[1]
+    return maintain.decay_pass(V.episodic(spark, d), V.NOW, threshold=0.003)[1]
 
 
 _VERBS = [(v, n) for v, n in text.STATEMENT_VERBS]
-_SPO = lambda v: f"(?i)(\\w[\\w\\s]{{1,30}}?)\\s+({v})\\s+(.+)"
-_CASE = lambda f: "CASE " + " ".join(f"WHEN regexp_matches(s, '{_SPO(v)}') THEN {f(v, n)}" for v, n in _VERBS) + " END"
+_SPO = lambda v: f"(?i)^(.*?)(\\w[\\w\\s]{{1,30}}?)\\s+({v})\\s+(.+)"
+_CASE = lambda f: "CASE " + " ".join(f"WHEN regexp_matches(a, '{_SPO(v)}') THEN {f(v, n)}" for v, n in _VERBS) + " END"
 _STRIP = lambda x: f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
-ASCII = "regexp_full_match(text, '[\\x00-\\x7F]*')"
-STATEMENTS = f"""d AS (SELECT doc_id AS id, source AS agent_id, text FROM documents WHERE {ASCII}),
-s AS (SELECT id, agent_id, {_STRIP('unnest(regexp_split_to_array(text, $$[.!?\\n]+$$))')} AS s FROM d),
-m AS (SELECT id, agent_id, {_STRIP(_CASE(lambda v, n: f"regexp_extract(s, '{_SPO(v)}', 1)"))} AS subject, {_CASE(lambda v, n: f"'{n}'")} AS predicate,
-  {_STRIP("regexp_split_to_array(" + _STRIP(_CASE(lambda v, n: f"regexp_extract(s, '{_SPO(v)}', 3)")) + ", '(?i)[,;]|\\band\\b|\\bbut\\b')[1]")} AS object FROM s WHERE length(s) >= 5),
-st AS (SELECT * FROM m WHERE predicate IS NOT NULL AND length(subject) BETWEEN 2 AND 50 AND length(object) BETWEEN 2 AND 80)"""
+
+
+def plain(x: str) -> str:
+    """SQL of a text of equal length where each word character beyond ASCII is a j, which stands in none of the patterns, and any other such character a #: what ASCII classes and word bounds match there, Unicode ones match in x."""
+    return f"regexp_replace(regexp_replace({x}, '[^\\x00-\\x7F{WORD_CHARS.format()}]', '#', 'g'), '[^\\x00-\\x7F]', 'j', 'g')"
+
+
+DOCS = f"d AS (SELECT doc_id, doc_id AS id, source AS agent_id, doc_id % 3 AS k, coalesce(text, '') AS text FROM documents)"
+STATEMENTS = f"""{DOCS},
+s AS (SELECT id, agent_id, {_STRIP('unnest(regexp_split_to_array(text, $$[.!?\n]+$$))')} AS s FROM d),
+a AS (SELECT *, {plain('s')} AS a FROM s WHERE length(s) >= 5),
+m AS (SELECT *, {_CASE(lambda v, n: f"'{n}'")} AS predicate, {_CASE(lambda v, n: f"regexp_extract(a, '{_SPO(v)}', ['before', 'subject', 'verb', 'rest'])")} AS g FROM a),
+o AS (SELECT id, agent_id, predicate, {_STRIP('substr(s, length(g.before) + 1, length(g.subject))')} AS subject, {_STRIP('substr(s, length(s) - length(g.rest) + 1)')} AS o FROM m WHERE predicate IS NOT NULL),
+e AS (SELECT * EXCLUDE (o), {_STRIP("substr(o, 1, length(regexp_split_to_array(" + plain('o') + ", '(?i)[,;]|\\band\\b|\\bbut\\b')[1]))")} AS object FROM o),
+st AS (SELECT * FROM e WHERE length(subject) BETWEEN 2 AND 50 AND length(object) BETWEEN 2 AND 80)"""
 
 
 def _episodes(spark: SparkSession, d: str) -> DataFrame:
@@ -252,15 +263,15 @@ def consolidation_due(spark: SparkSession, d: str) -> DataFrame:
     return maintain.due_for_consolidation(V.read(spark, d, "documents").withColumnRenamed("source", "agent_id"))
 
 
-WS = "list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')"
+WS = f"list_filter(regexp_split_to_array(text, '{SPACE.format()}'), lambda w: w <> '')"
 _RX = lambda p: f"len(regexp_extract_all(text, '{p}'))"
-ASCII_DOCS = f"d AS (SELECT doc_id, text, doc_id % 3 AS k FROM documents WHERE {ASCII})"
+PLAIN_DOCS = f"{DOCS}, p AS (SELECT *, {plain('text')} AS a FROM d)"
 
 
-@query(f"""WITH {ASCII_DOCS}, w AS (SELECT *, {WS} AS w FROM d)
+@query(f"""WITH {PLAIN_DOCS}, w AS (SELECT *, {WS} AS w FROM p)
 SELECT doc_id, {TOKENS.format('text')} AS token_count, len(w) AS word_count,
-  array_to_string(list_transform(list_slice(list_filter(list_slice(w, 2, len(w)), lambda x: regexp_matches(x, '^[A-Z]') AND regexp_matches(x, '[a-z]') AND length(x) > 1), 1, 10), lambda x: trim(x, '.,!?;:"''')), ' ') AS entities,
-  regexp_matches(text, '\\?\\s*$') OR regexp_matches(text, '(?i)\\b({text.QUESTION_WORDS})\\b') AS has_question, regexp_matches(text, '(?i)\\b({text.NEGATIONS.replace("'", "''")})\\b') AS has_negation FROM w""")
+  array_to_string(list_transform(list_slice(list_filter(list_slice(w, 2, len(w)), lambda x: regexp_matches(x, '^\\p{{Lu}}') AND regexp_matches(x, '\\p{{Ll}}') AND length(x) > 1), 1, 10), lambda x: trim(x, '.,!?;:"''')), ' ') AS entities,
+  regexp_matches(text, '\\?\\s*$') OR regexp_matches(a, '(?i)\\b({text.QUESTION_WORDS})\\b') AS has_question, regexp_matches(a, '(?i)\\b({text.NEGATIONS.replace("'", "''")})\\b') AS has_negation FROM w""")
 def text_metadata(spark: SparkSession, d: str) -> DataFrame:
     rows = _episodes(spark, d)
     m = rows.select(F.col("id").alias("doc_id"), text.text_metadata(F.col("content")).alias("m")).select("doc_id", "m.*")
@@ -268,7 +279,7 @@ def text_metadata(spark: SparkSession, d: str) -> DataFrame:
 
 
 TECH = "[" + ",".join(f"'{w}'" for w in score.TECH_TERMS) + "]"
-HIGH_N, LOW_N = (f"len(regexp_extract_all(text, '{p}'))" for p in (score.HIGH, score.LOW))
+HIGH_N, LOW_N = (f"len(regexp_extract_all(a, '{p}'))" for p in (score.HIGH, score.LOW))
 KIND = "CASE k WHEN 0 THEN {0} WHEN 1 THEN {1} ELSE {2} END"
 
 
@@ -277,10 +288,10 @@ def _typed(spark: SparkSession, d: str) -> DataFrame:
     return _episodes(spark, d).select(F.col("id").alias("doc_id"), "content", kind.alias("memory_type"), (F.col("id") % 7).alias("access_count"), (F.col("id") % 60).cast("double").alias("recency_hours"))
 
 
-@query(f"""WITH {ASCII_DOCS}, w AS (SELECT *, {WS} AS w, greatest(1, len({WS}))::DOUBLE AS n FROM d)
-SELECT doc_id, {KIND.format('0.0', '0.5', '1.0')}::DOUBLE AS type_norm, round(n / 100, 6) AS length, regexp_matches(text, 'v\\d+\\.\\d+')::INT::DOUBLE AS has_version, regexp_matches(text, '{score.METRIC}')::INT::DOUBLE AS has_metric,
+@query(f"""WITH {PLAIN_DOCS}, w AS (SELECT *, {WS} AS w, greatest(1, len({WS}))::DOUBLE AS n FROM p)
+SELECT doc_id, {KIND.format('0.0', '0.5', '1.0')}::DOUBLE AS type_norm, round(n / 100, 6) AS length, regexp_matches(text, 'v\\d+\\.\\d+')::INT::DOUBLE AS has_version, regexp_matches(a, '{score.METRIC}')::INT::DOUBLE AS has_metric,
   round(least(1, {HIGH_N} / 5.0::DOUBLE), 6) AS high_kw, round(least(1, {LOW_N} / 5.0::DOUBLE), 6) AS low_kw,
-  round(least(1, len(list_filter(w, lambda x: regexp_full_match(x, '[A-Z][A-Za-z]+'))) / n), 6) AS entity_density, round(least(1, len(list_filter(w, lambda x: regexp_matches(x, '\\d'))) / n), 6) AS specificity,
+  round(least(1, len(list_filter(w, lambda x: regexp_full_match(x, '\\p{{Lu}}\\p{{L}}+'))) / n), 6) AS entity_density, round(least(1, len(list_filter(w, lambda x: regexp_matches(x, '\\p{{Nd}}'))) / n), 6) AS specificity,
   round(least(1, len(list_filter(w, lambda x: list_contains({TECH}, regexp_replace(lower(x), '[.,;:()]+$', '')))) / 5.0::DOUBLE), 6) AS tech_density,
   round(ln(1 + doc_id % 7), 6) AS access_log, round(exp(-(doc_id % 60) / 48.0::DOUBLE), 6) AS recency_decay FROM w""")
 def importance_features(spark: SparkSession, d: str) -> DataFrame:
@@ -292,7 +303,7 @@ HEUR = f"""least(1, greatest(0, {KIND.format('0.4', '0.55', '0.6')}::DOUBLE + le
   + CASE WHEN doc_id % 7 <= 0 THEN 0 ELSE least(0.15, 0.05 * ln(1 + doc_id % 7)) END + CASE WHEN doc_id % 60 <= 0 THEN 0.05 WHEN doc_id % 60 >= 48 THEN 0 ELSE 0.05 * (1 - (doc_id % 60) / 48.0::DOUBLE) END))"""
 
 
-@query(f"WITH {ASCII_DOCS} SELECT doc_id, round({HEUR}, 6) AS score FROM d")
+@query(f"WITH {PLAIN_DOCS} SELECT doc_id, round({HEUR}, 6) AS score FROM p")
 def importance_heuristic(spark: SparkSession, d: str) -> DataFrame:
     t = _typed(spark, d)
     return t.select("doc_id", r6(score.heuristic_importance(F.col("content"), F.col("memory_type"), F.col("access_count"), F.col("recency_hours")), "score"))
@@ -414,7 +425,7 @@ def vector_topk_approximate(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""WITH e AS (SELECT item_id, text, list_slice(regexp_split_to_array(text, '\\s+'), 1, 5) AS expected FROM benchmark)
-SELECT e.item_id, d.doc_id, round(len(list_filter(expected, lambda k: contains(lower(d.text), lower(k))))::DOUBLE / len(expected), 6) AS score FROM e JOIN documents d ON d.doc_id % 40 = e.item_id % 40""")
+SELECT e.item_id, d.doc_id, round(len(list_filter(expected, lambda k: contains(lower(d.text), lower(k))))::DOUBLE / len(expected), 6) AS score FROM e, documents d""")
 def eval_keywords(spark: SparkSession, d: str) -> DataFrame:
     """Every benchmark item against every document."""
     e = V.read(spark, d, "benchmark").select("item_id", F.slice(F.split("text", r"\s+"), 1, 5).alias("expected"))
@@ -422,9 +433,9 @@ def eval_keywords(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.keyword_scores(docs, e).select("item_id", "doc_id", r6(F.col("score"), "score"))
 
 
-_W = "list_distinct(list_filter(regexp_split_to_array(lower({0}), '\\s+'), lambda w: w <> ''))"
-PAIR = f"p AS (SELECT a.conv_id, a.turn, a.role, a.text AS answer, b.text AS expected FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1 WHERE regexp_full_match(a.text, '[\\x00-\\x7F]*') AND regexp_full_match(b.text, '[\\x00-\\x7F]*'))"
-OVERLAP = f"SELECT *, CASE WHEN len({_W.format('expected')}) = 0 THEN 0 ELSE len(list_intersect({_W.format('expected')}, {_W.format('answer')}))::DOUBLE / len({_W.format('expected')}) END AS overlap, (trim(regexp_replace(lower(answer), '[^\\w\\s]', '', 'g')) = trim(regexp_replace(lower(expected), '[^\\w\\s]', '', 'g')))::INT::DOUBLE AS exact FROM p"
+_W = "list_distinct(list_filter(regexp_split_to_array(lower({0}), '" + SPACE + "'), lambda w: w <> ''))"
+PAIR = f"p AS (SELECT a.conv_id, a.turn, a.role, coalesce(a.text, '') AS answer, coalesce(b.text, '') AS expected FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1)"
+OVERLAP = f"SELECT *, CASE WHEN len({_W.format('expected')}) = 0 THEN 0 ELSE len(list_intersect({_W.format('expected')}, {_W.format('answer')}))::DOUBLE / len({_W.format('expected')}) END AS overlap, (trim(regexp_replace(lower(answer), '[^{WORD_CHARS.format()}\\p{{Pc}}\\s\\p{{Z}}]', '', 'g')) = trim(regexp_replace(lower(expected), '[^{WORD_CHARS.format()}\\p{{Pc}}\\s\\p{{Z}}]', '', 'g')))::INT::DOUBLE AS exact FROM p"
 
 
 def _turns(spark: SparkSession, d: str) -> DataFrame:
@@ -443,7 +454,7 @@ def eval_averages(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.averages(_turns(spark, d), "role", "overlap").select("role", "n", r6(F.col("avg_overlap"), "avg_overlap"), r6(F.col("median_overlap"), "median_overlap"))
 
 
-@query(f"""WITH q AS (SELECT item_id AS query_id, {_W.format('text')} AS w FROM benchmark), m AS (SELECT doc_id AS id, unnest({_W.format('text')}) AS word FROM documents WHERE lang = 'en'),
+@query(f"""WITH q AS (SELECT item_id AS query_id, {_W.format('text')} AS w FROM benchmark), m AS (SELECT doc_id AS id, unnest({_W.format('text')}) AS word FROM documents),
 qq AS (SELECT query_id, len(w) AS n, unnest(w) AS word FROM q), s AS (SELECT query_id, id, count(*)::DOUBLE / any_value(n) AS overlap FROM qq JOIN m USING (word) GROUP BY ALL HAVING count(*)::DOUBLE / any_value(n) >= 0.1)
 SELECT query_id, id, round(overlap, 6) AS overlap FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY overlap DESC, id) AS r FROM s) WHERE r = 1""")
 def eval_best_overlap(spark: SparkSession, d: str) -> DataFrame:
@@ -463,14 +474,14 @@ def item_ids(spark: SparkSession, d: str) -> DataFrame:
     return V.read(spark, d, "documents").select("doc_id", text.item_id(F.col("source"), F.array("lang", F.lit("docs")), F.col("doc_id").cast("string")).alias("item_id"))
 
 
-@query("""WITH i AS (SELECT doc_id, [source, lang, CAST(doc_id % 3 AS VARCHAR)] AS ns FROM documents WHERE lang <> 'de'), g AS (SELECT list_slice(ns, 1, 2) AS ns, min(doc_id) AS first FROM i WHERE ns[3] = '1' GROUP BY 1)
+@query("""WITH i AS (SELECT doc_id, [source, lang, CAST(doc_id % 3 AS VARCHAR)] AS ns FROM documents), g AS (SELECT list_slice(ns, 1, 2) AS ns, min(doc_id) AS first FROM i WHERE ns[3] = '1' GROUP BY 1)
 SELECT array_to_string(ns, '/') AS namespace, first FROM g""")
 def namespace_listing(spark: SparkSession, d: str) -> DataFrame:
     i = V.read(spark, d, "documents").select(F.array("source", "lang", (F.col("doc_id") % 3).cast("string")).alias("namespace"), F.col("doc_id").alias("created_at"), F.col("doc_id").alias("id"))
     return adapters.namespaces(i, suffix=("1",), max_depth=2).select(F.array_join("namespace", "/").alias("namespace"), F.col("first.id").alias("first"))
 
 
-@query(f"""WITH {V.EPISODIC}, {V.QUERIES}, h AS (SELECT query_id, id, {DIST} AS dist FROM queries q, episodic e), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dist, id) AS r FROM h)
+@query(f"""WITH {V.EPISODIC}, {V.QUERIES}, h AS (SELECT query_id, id, {DIST} AS dist FROM queries q JOIN episodic e ON e.embedding IS NOT NULL), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dist, id) AS r FROM h)
 SELECT query_id, id, round(1 - dist, 6) AS relevance FROM r WHERE r <= 5 AND (1 - dist >= 0.7 OR r = 1)""")
 def relevance_floor(spark: SparkSession, d: str) -> DataFrame:
     hits = search.nearest(V.episodic(spark, d).select("id", "embedding"), V.query_batch(spark, d).select("query_id", "vec"), 5).withColumn("relevance", 1 - F.col("dist"))

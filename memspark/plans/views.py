@@ -14,8 +14,9 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def episodic(spark: SparkSession, sf_dir: str) -> DataFrame:
     d, e = read(spark, sf_dir, "documents"), read(spark, sf_dir, "embeddings")
-    at = F.timestamp_micros(F.lit(1704067200000000) + F.col("doc_id") * 60_000_000)
-    return d.join(e, d.doc_id == e.vec_id).select(
+    # all minutes of 30 days, in no order of the ids
+    at = F.timestamp_micros(F.lit(1704067200000000) + F.col("doc_id") * 7919 % 43_200 * 60_000_000)
+    return d.join(e, d.doc_id == e.vec_id, "left").select(
         F.col("doc_id").alias("id"), F.col("text").alias("content"), F.lit("episodic").alias("memory_type"), F.col("source").alias("agent_id"),
         F.element_at(F.array(*map(F.lit, ("private", "team", "org", "session"))), (F.col("doc_id") % 4 + 1).cast("int")).alias("scope"), F.lit(None).cast("string").alias("team_id"),
         (F.col("doc_id") * 37 % 101 / F.lit(100.0)).alias("importance"), (1 - F.col("doc_id") * 17 % 50 / F.lit(100.0)).alias("decay_score"), (F.col("doc_id") % 7).alias("access_count"), at.alias("created_at"), at.alias("accessed_at"), "embedding", "lang",
@@ -25,8 +26,8 @@ def episodic(spark: SparkSession, sf_dir: str) -> DataFrame:
 EPISODIC = """episodic AS (
   SELECT d.doc_id AS id, d.text AS content, d.source AS agent_id, ['private','team','org','session'][CAST(d.doc_id % 4 AS INT) + 1] AS scope,
          CAST(d.doc_id * 37 % 101 AS DOUBLE) / 100 AS importance, 1 - CAST(d.doc_id * 17 % 50 AS DOUBLE) / 100 AS decay_score, d.doc_id % 7 AS access_count,
-         TIMESTAMP '2024-01-01' + to_minutes(d.doc_id) AS created_at, CAST(e.embedding AS DOUBLE[]) AS embedding, d.lang
-  FROM documents d JOIN embeddings e ON e.vec_id = d.doc_id)"""
+         TIMESTAMP '2024-01-01' + to_minutes(d.doc_id * 7919 % 43200) AS created_at, CAST(e.embedding AS DOUBLE[]) AS embedding, d.lang
+  FROM documents d LEFT JOIN embeddings e ON e.vec_id = d.doc_id)"""
 
 
 def query_batch(spark: SparkSession, sf_dir: str, budget: int = 500, types: tuple[str, ...] = ("episodic",)) -> DataFrame:
