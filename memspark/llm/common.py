@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -32,14 +34,37 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+#: Folders written since each open scratch began; the innermost is last.
+_scratch: list[list[str]] = []
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: the lineage ends there, and a lost executor loses nothing."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/memspark/{name}-{uuid.uuid4().hex}"
+    if _scratch:
+        _scratch[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder, wherever Spark's file systems have it."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """What is materialised inside is deleted at the end: for work whose result is written before."""
+    _scratch.append([])
+    try:
+        yield
+    finally:
+        for path in _scratch.pop():
+            remove(spark, path)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, "documents.parquet"))
 
@@ -55,6 +80,29 @@ def picked(df: DataFrame, **columns: str) -> DataFrame:
 
 #: Bytes of row keys that may be broadcast.
 BROADCAST_BYTES = 32 << 20
+#: Keys that hold more than this share of the rows are met by broadcast: there are at most as many of them as its inverse.
+HOT_SHARE = 1e-4
+
+
+def fits_broadcast(df: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
+    """Whether the rows of df are of a size to be broadcast; strings and binaries are measured, not assumed."""
+    wide = [F.coalesce(F.octet_length(F.col(f"`{c}`")), F.lit(0)) for c, t in df.dtypes if t in ("string", "binary")]
+    fixed = 16 + 16 * len(df.columns)
+    return (df.agg(F.sum(sum(wide, F.lit(fixed)))).first()[0] or 0) <= limit
+
+
+def join_spread(rows: DataFrame, info: DataFrame, keys: list[str], weight: str, how: str = "inner") -> DataFrame:
+    """rows joined with info (one row for each of the keys; weight: how many of the rows have them), without a task for a hot key.
+
+    Keys with more than HOT_SHARE of the rows are few, so their info is broadcast; the others are shuffled.
+    """
+    total = info.agg(F.sum(weight)).first()[0] or 0
+    hot = info.filter(F.col(weight) > max(1.0, total * HOT_SHARE))
+    cold = info.filter(F.col(weight) <= max(1.0, total * HOT_SHARE))
+    if hot.isEmpty():
+        return rows.join(info, keys, how)
+    rest = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold, keys, how)
+    return rows.join(F.broadcast(hot), keys, "left_semi" if how == "left_semi" else "inner").unionByName(rest)
 
 
 def text_hash(column: str = "text"):

@@ -7,18 +7,19 @@ weighted Jaccard similarity. Ranks are covered up to about (ln k + 2) * k / tota
 those few sets that leave a coordinate empty, so the work follows the number of elements plus k ln k.
 
 Elements are the distinct shingles of ``shingle`` words, of weight 1, or as often as they occur.
-Documents with equal shingle sets form a class at once, and only its smallest id goes on. Bands of
-``rows`` coordinates are bucket keys, and documents connected by common buckets form a block of candidates. Pairs
-are checked exactly (similarity of at least ``threshold``), and documents connected by such links form a
-class. A block of at most ``local`` sets is settled by one worker, each set against the block. Of a larger
-block, whatever its size, all members of a bucket are tied to one centre; in buckets that still hold several classes, the members outside the largest one are compared with a
-few members of it, for some rounds; then those still outside with every member of another class, until no
-bucket holds an unchecked pair between classes: no link between different sets of a common bucket is lost,
-and pairs inside a class are not listed.
+Documents with equal shingle sets are one from the start, and weigh nothing further on. Bands of ``rows``
+coordinates are bucket keys, and sets connected by common buckets form a block of candidates. A link is a pair
+of sets of a common bucket with a similarity of at least ``threshold``, checked exactly; sets connected by
+links form a class. How a block is settled changes the work, not the links: one of at most ``local`` sets and
+``local_elements`` elements goes to one worker. Of a larger block all members of a bucket are first compared
+with one centre; in buckets that still hold several classes, the members outside the largest one with a few
+members of it, for some rounds. What is left is joined by prefixes: sets that are alike enough share one of
+their few rarest elements. No bucket's pairs are listed all, and pairs inside a class are not listed.
 
 Defined cases: a text of fewer words than a shingle is one shingle; a text without words (null, empty)
-is in a class with the others of its kind. Repeated ids with different texts are linked by what they
-share. A null id is kept, and is never the class's name unless all are null. Extra columns are ignored.
+is in a class with the others of its kind. Very long texts count whole. Repeated ids with different texts are
+linked by what they share. A null id is kept, and is never the class's name unless all are null. No rows
+give no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import materialise, picked, text_hash, texts_of
+from .common import fits_broadcast, join_spread, materialise, picked, text_hash, texts_of
 from .licences import words_of
 
 #: Upper ranks of the strips darts are thrown in; what lies beyond doubles.
@@ -246,8 +247,8 @@ def components(links: DataFrame) -> DataFrame:
             return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
 
 
-def settle(els: list[np.ndarray], wts: list[np.ndarray], threshold: float, counts: bool) -> list[int]:
-    """The first member of each set's component, by exact links within a block."""
+def settle(els: list[np.ndarray], wts: list[np.ndarray], bands: np.ndarray, threshold: float, counts: bool) -> list[int]:
+    """The first member of each set's component, by exact links of sets of a common bucket."""
     vocabulary, at = np.unique(np.concatenate(els), return_inverse=True)
     size = np.array([len(e) for e in els])
     start = np.cumsum(size) - size
@@ -268,7 +269,8 @@ def settle(els: list[np.ndarray], wts: list[np.ndarray], threshold: float, count
         rest = slice(start[i + 1], None)
         common = np.add.reduceat(np.minimum(mark[at[rest]], weight[rest]), start[i + 1 :] - start[i + 1])
         mark[own] = 0
-        for j in np.flatnonzero(common >= threshold * (total[i] + total[i + 1 :] - common)) + i + 1:
+        alike = common >= threshold * (total[i] + total[i + 1 :] - common)
+        for j in np.flatnonzero(alike & (bands[i + 1 :] == bands[i]).any(1)) + i + 1:
             a, b = find(i), find(int(j))
             root[max(a, b)] = min(a, b)
     return [find(i) for i in range(len(els))]
@@ -282,12 +284,12 @@ def settled(blocks: DataFrame, threshold: float, counts: bool) -> DataFrame:
 
         def close() -> Iterator[pa.RecordBatch]:
             if held:
-                roots = settle([h[2] for h in held], [h[3] for h in held], threshold, counts)
+                roots = settle([h[2] for h in held], [h[3] for h in held], np.stack([h[4] for h in held]), threshold, counts)
                 yield pa.RecordBatch.from_arrays([pa.array([h[1] for h in held], pa.binary()), pa.array([held[r][1] for r in roots], pa.binary())], names=["node", "root"])
 
         for b in batches:
             block, cls = b.column(0).to_pylist(), b.column(1).to_pylist()
-            flat = [(c.values.to_numpy(zero_copy_only=False), c.offsets.to_numpy()) for c in (b.column(2), b.column(3))]
+            flat = [(c.values.to_numpy(zero_copy_only=False), c.offsets.to_numpy()) for c in (b.column(2), b.column(3), b.column(4))]
             for i in range(b.num_rows):
                 if held and held[0][0] != block[i]:
                     yield from close()
@@ -295,7 +297,26 @@ def settled(blocks: DataFrame, threshold: float, counts: bool) -> DataFrame:
                 held.append((block[i], cls[i], *(v[o[i] : o[i + 1]].copy() for v, o in flat)))
         yield from close()
 
-    return blocks.select("block", "cls", "els", "wts").mapInArrow(run, "node binary, root binary")
+    return blocks.select("block", "cls", "els", "wts", "bands").mapInArrow(run, "node binary, root binary")
+
+
+def prefix_pairs(some: DataFrame, sets: DataFrame, threshold: float, counts: bool) -> DataFrame:
+    """(a, b) of the sets (cls, root) of different roots that share a bucket and one of their rarest elements.
+
+    Of n elements, in one order for all sets, two sets of a similarity of at least threshold share one of the
+    first n - ceil(threshold * n) + 1: with fewer in common they could not reach it.
+    """
+    times = F.transform("els", lambda e, i: F.transform(F.sequence(F.lit(1), F.get("wts", i)), lambda k: F.xxhash64(e, k))) if counts else None
+    own = some.join(sets, "cls").select("cls", "root", "bands", (F.flatten(times) if counts else F.col("els")).alias("els"))
+    own = materialise(own, "own")
+    flat = own.select("cls", F.size("els").alias("n"), F.explode("els").alias("e"))
+    often = flat.groupBy("e").agg(F.count("*").alias("f")).filter("f > 1")  # an element of one set only links nothing
+    rank = F.row_number().over(W.partitionBy("cls").orderBy(F.coalesce("f", F.lit(1)), "e"))
+    # the slack keeps a rounded product from shortening a prefix
+    first = flat.join(often, "e", "left").withColumn("r", rank).filter((F.col("r") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1) & F.col("f").isNotNull())
+    first = materialise(first.select("cls", "e").join(own.select("cls", "root", "bands"), "cls"), "prefixes")
+    both = first.alias("a").join(first.alias("b"), (F.col("a.e") == F.col("b.e")) & (F.col("a.cls") < F.col("b.cls")) & (F.col("a.root") != F.col("b.root")) & F.arrays_overlap("a.bands", "b.bands"))
+    return both.select(F.col("a.cls").alias("a"), F.col("b.cls").alias("b")).distinct()
 
 
 def _bucketwise(members: DataFrame, sets: DataFrame, threshold: float, counts: bool, star_rounds: int, star_centres: int) -> DataFrame:
@@ -303,35 +324,32 @@ def _bucketwise(members: DataFrame, sets: DataFrame, threshold: float, counts: b
     members = materialise(members, "members")
     links = materialise(similar(members.filter("cls <> centre").select(F.least("cls", "centre").alias("a"), F.greatest("cls", "centre").alias("b")).distinct(), sets, threshold, counts), "links")
     tried = links.select("a", "b").limit(0)
-    turn = 0
-    while True:
+    for turn in range(star_rounds + 1):
         root = components(links)
         placed = members.join(root, F.col("cls") == F.col("node"), "left").select("key", "cls", "centre", F.coalesce("root", "cls").alias("root"))
         placed = materialise(placed, "placed")
         by = placed.groupBy("key", "root").agg(F.count("*").alias("n"))
         mixed = by.groupBy("key").agg(F.count("*").alias("roots"), F.max_by("root", F.struct("n", "root")).alias("main")).filter("roots > 1").select("key", "main")
         inside = materialise(placed.join(mixed, "key"), "mixed")
-        outside = inside.filter("root <> main").select("key", F.col("cls").alias("a"), F.col("root").alias("ra"), F.col("centre").alias("ca"))
-        others = inside.select("key", F.col("cls").alias("b"), F.col("root").alias("rb"))
-        if turn < star_rounds:
+        if inside.isEmpty():
+            return root
+        if turn == star_rounds:
+            pairs = prefix_pairs(inside.select("cls", "root").distinct(), sets, threshold, counts)
+        else:
+            outside = inside.filter("root <> main").select("key", F.col("cls").alias("a"), F.col("root").alias("ra"), F.col("centre").alias("ca"))
             # some members of the largest class, the same in all buckets where they are, stand for it
             some = inside.filter("root = main").groupBy("key").agg(*(F.min(F.struct(F.xxhash64("cls", F.lit(turn), F.lit(i)).alias("o"), F.col("cls").alias("b"), F.col("root").alias("rb"))).alias(f"x{i}") for i in range(star_centres)))
             others = some.select("key", F.explode(F.array_distinct(F.array(*(F.struct(f"x{i}.b", f"x{i}.rb") for i in range(star_centres))))).alias("x")).select("key", "x.b", "x.rb")
-        pairs = outside.join(others, "key").filter("ra <> rb and a <> ca and b <> ca").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+            pairs = outside.join(others, "key").filter("ra <> rb and a <> ca and b <> ca").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         pairs = materialise(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-        if pairs.isEmpty():
-            if turn >= star_rounds:
-                return root
-            turn = star_rounds
-            continue
-        turn += 1
         tried = materialise(tried.unionByName(pairs), "tried")
         links = materialise(links.unionByName(similar(pairs, sets, threshold, counts)), "links")
+    return components(links)
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", bands: int = 32, rows: int = 6, shingle: int = 5, threshold: float = 0.8, counts: bool = False, local: int = 3000, star_rounds: int = 3, star_centres: int = 4) -> DataFrame:
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", bands: int = 32, rows: int = 6, shingle: int = 5, threshold: float = 0.8, counts: bool = False, local: int = 3000, local_elements: int = 4_000_000, star_rounds: int = 3, star_centres: int = 4) -> DataFrame:
     """(id, class_id, class_size, is_kept) of every row: class_id is the smallest id of the class, and one row with that id is kept."""
-    whole = classes(df, id_col, text_col, bands, rows, shingle, threshold, counts, local, star_rounds, star_centres)
+    whole = classes(df, id_col, text_col, bands, rows, shingle, threshold, counts, local, local_elements, star_rounds, star_centres)
     # of the rows that are the kept one's copies, by id and text, one
     turn = F.row_number().over(W.partitionBy("id", "h").orderBy("root"))
     out = lambda rows, kept: rows.select(F.col("id").alias(id_col), "class_id", "class_size", kept.alias("is_kept"))
@@ -343,30 +361,34 @@ def kept_rows(df: DataFrame) -> DataFrame:
     return classes(df).filter("is_first").groupBy("id", "h").agg(F.count("*").alias("copies"))
 
 
-def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", bands: int = 32, rows: int = 6, shingle: int = 5, threshold: float = 0.8, counts: bool = False, local: int = 3000, star_rounds: int = 3, star_centres: int = 4) -> DataFrame:
+def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", bands: int = 32, rows: int = 6, shingle: int = 5, threshold: float = 0.8, counts: bool = False, local: int = 3000, local_elements: int = 4_000_000, star_rounds: int = 3, star_centres: int = 4) -> DataFrame:
     """(id, h, root, class_id, class_size, is_first) of every row; is_first: id and text are those that the class keeps."""
     docs = picked(df, id=id_col, text=text_col).withColumn("h", text_hash())
     sketches = materialise(sketch(docs, bands, rows, shingle, counts), "sketches")
-    each = sketches.filter("n > 0").select("cls", F.explode("bands").alias("key"))
-    # buckets with company of another set; a key says its band too. Copies of a set weigh nothing here
+    # a row for each different set: copies of a set weigh nothing from here on
+    kinds = materialise(sketches.groupBy("cls").agg(F.first("bands").alias("bands"), F.first("n").alias("n"), F.min(F.struct("id", "h")).alias("x"), F.count("*").alias("c")), "kinds")
+    each = kinds.filter("n > 0").select("cls", F.explode("bands").alias("key"))
+    # buckets with company; a key says its band too
     sizes = each.groupBy("key").agg(F.min("cls").alias("centre"), F.max("cls").alias("last")).filter("centre <> last").select("key", "centre")
-    members = materialise(each.join(sizes, "key").distinct(), "buckets")
+    members = materialise(each.join(sizes, "key"), "buckets")
     involved = members.select("cls").distinct()
-    one = materialise(sketches.select("cls", "id", "h").join(involved, "cls", "left_semi").groupBy("cls").agg(F.min(F.struct("id", "h")).alias("x")).select("x.id", "x.h"), "one")
-    few = F.broadcast(one) if one.count() * 32 < 32 << 20 else one
+    one = materialise(kinds.join(involved, "cls", "left_semi").select("cls", "n", "bands", "x.id", "x.h"), "one")
+    ids = one.select("id", "h")
+    few = F.broadcast(ids) if fits_broadcast(ids) else ids
     texts = docs.alias("d").join(few.alias("o"), F.col("d.id").eqNullSafe(F.col("o.id")) & (F.col("d.h") == F.col("o.h"))).select("d.text")
-    sets = materialise(sets_of(texts, shingle, counts).dropDuplicates(["cls"]), "sets")
+    sets = materialise(sets_of(texts, shingle, counts).dropDuplicates(["cls"]).join(one.select("cls", "bands"), "cls"), "sets")
     block = materialise(components(members.select(F.col("cls").alias("a"), F.col("centre").alias("b"))).withColumnRenamed("root", "block"), "blocks")
-    large = block.groupBy("block").agg(F.count("*").alias("n")).filter(F.col("n") > local).select("block")
+    heavy = (F.col("sets") > local) | (F.col("elements") > local_elements)
+    large = block.join(one.select(F.col("cls").alias("node"), "n"), "node").groupBy("block").agg(F.count("*").alias("sets"), F.sum("n").alias("elements")).filter(heavy).select("block")
     small = block.join(large, "block", "left_anti")
     inside = sets.join(small, F.col("cls") == F.col("node")).repartition("block").sortWithinPartitions("block", "cls")
     root = settled(inside, threshold, counts)
     if not large.isEmpty():
         those = block.join(large, "block", "left_semi").select(F.col("node").alias("cls"))
         root = root.unionByName(_bucketwise(members.join(those, "cls", "left_semi"), sets, threshold, counts, star_rounds, star_centres))
-    root = materialise(root, "roots")
-    whole = sketches.select("id", "h", "cls").join(root, F.col("cls") == F.col("node"), "left").select("id", "h", F.coalesce("root", "cls").alias("root"))
+    rooted = kinds.select("cls", "c").join(root, F.col("cls") == F.col("node"), "left").select("cls", "c", F.coalesce("root", "cls").alias("root"))
+    whole = join_spread(sketches.select("id", "h", "cls"), materialise(rooted, "roots"), ["cls"], "c").select("id", "h", "root")
     whole = materialise(whole, "classes")
     least = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "h")).alias("x")
     names = whole.groupBy("root").agg(F.min("id").alias("class_id"), F.count("*").alias("class_size"), least).select("root", "class_id", "class_size", F.col("x.h").alias("kept_h"))
-    return whole.join(names, "root").select("id", "h", "root", "class_id", "class_size", (F.col("id").eqNullSafe(F.col("class_id")) & (F.col("h") == F.col("kept_h"))).alias("is_first"))
+    return join_spread(whole, materialise(names, "names"), ["root"], "class_size").select("id", "h", "root", "class_id", "class_size", (F.col("id").eqNullSafe(F.col("class_id")) & (F.col("h") == F.col("kept_h"))).alias("is_first"))

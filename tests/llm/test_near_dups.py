@@ -68,6 +68,50 @@ def test_classes(spark, local):
     assert all(x.class_size == sizes[x.class_id] for x in out)
 
 
+def edited(r, text, n):
+    out = list(text)
+    for k in r.sample(range(len(out)), n):
+        out[k] = f"v{r.randrange(10**6)}"
+    return out
+
+
+@pytest.mark.parametrize("local", [3000, 0])
+def test_shipped_settings_lose_no_link(spark, local):
+    """Pairs around the threshold, at the settings of the query: 200 words, a word changed costs 5 of 196 shingles."""
+    r = random.Random(31)
+    texts = []
+    for _ in range(150):
+        a = [f"w{r.randrange(3000)}" for _ in range(200)]
+        texts += [" ".join(a), " ".join(edited(r, a, r.choice([1, 2, 3, 4, 4, 5, 6])))]
+    ids = list(range(len(texts)))
+    out = near_dups.near_duplicates(frame(spark, texts, ids), local=local).collect()
+    want = brute(texts, ids)
+    assert sum(c != i for i, c in want.items()) > 100
+    assert {x.doc_id: x.class_id for x in out} == want
+
+
+def test_unlike_sets_of_one_bucket(spark):
+    """A template of 70 % that all texts share, with near copies among them: many buckets of many classes."""
+    r = random.Random(32)
+    template, texts = [f"t{i}" for i in range(140)], []
+    for _ in range(40):
+        own = template + [f"w{r.randrange(10**6)}" for _ in range(60)]
+        texts += [" ".join(own)] + [" ".join(edited(r, own, 2)) for _ in range(r.choice([0, 0, 1, 3]))]
+    ids = list(range(len(texts)))
+    for counts in (False, True):
+        out = near_dups.near_duplicates(frame(spark, texts, ids), bands=40, rows=3, local=0, star_rounds=1, star_centres=1, counts=counts).collect()
+        assert {x.doc_id: x.class_id for x in out} == brute(texts, ids)
+
+
+def test_long_and_repeated_texts(spark):
+    r = random.Random(33)
+    long = [f"w{r.randrange(10**6)}" for _ in range(30_000)]
+    texts = [" ".join(long), " ".join(edited(r, long, 500)), *["one and the same text of some words"] * 60, "another"]
+    for elements in (4_000_000, 10_000):
+        out = near_dups.near_duplicates(frame(spark, texts, [*range(len(texts))]), local_elements=elements).collect()
+        assert sorted(x.class_size for x in out) == [1, 2, 2] + [60] * 60
+
+
 def test_odd_rows(spark):
     out = near_dups.near_duplicates(frame(spark, ["a b c d e f g", "a b c d e f g", "a b c d e f g", "p q r s t u v"], [7, 7, None, 7])).collect()
     assert len(out) == 4 and sorted(x.class_size for x in out) == [1, 3, 3, 3]
