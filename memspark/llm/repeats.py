@@ -6,16 +6,20 @@ or another; strings are judged on the input.
 Which suffixes can match at all: of the rolling hashes of half-length grams each window of ``length``
 bytes keeps its least (its anchor); equal strings have equal anchors at equal offsets. The starts that
 share an anchor form a segment, keyed by the anchor's gram. Segments whose key occurs once are done.
-Equal segments of a key are held once, with their number. The others meet, by key, in a logarithmic
-family of suffix arrays: a batch of new suffixes is sorted, scanned in merge order against every level for
-common prefixes of ``length`` bytes, and becomes a level; two levels of like size merge into one.
+Equal segments of a key are held once, with their number. The others meet, by key, in logarithmic
+families of suffix arrays over a shared text: a batch of new segments is appended to the text, its suffix
+array is made, merge-scanned against the array of every level for common prefixes of ``length`` bytes, and
+becomes a level itself; two levels of like size are merged into one. A family takes the batches of many
+keys and ends, between two keys, when it has grown to FAMILY suffixes; no suffix matches one of another key.
 
 A key with more than ``hot`` different segments is not gathered in one task: its segments are cut into
 shorter ranges of starts, keyed by all the bytes these have in common, and go through the same steps;
-a range of one start is its own string, so this ends.
+a range of one start is its own string, so this ends. Joins by key and segment meet the hot ones by broadcast.
 
-Defined cases: null and empty texts, and texts shorter than ``length``, lose nothing. Repeated rows are
-copies of each other. The remaining bytes need not be valid UTF-8. Extra columns are ignored.
+Defined cases: null and empty texts, and texts shorter than ``length``, lose nothing. A long text is anchored
+whole, by one task, in some ten arrays of its length; it is to be shorter than 2**30 bytes (ValueError).
+Repeated rows are copies of each other. No rows give no rows. The remaining bytes need not be valid UTF-8.
+Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, picked, texts_of
+from .common import fits_broadcast, join_spread, materialise, picked, texts_of
 from .near_dups import mix
 
 BASE = 0x9E3779B97F4A7C15
@@ -36,8 +40,8 @@ INVERSE = pow(BASE, -1, 1 << 64)
 POSITION = (1 << 30) - 1
 #: Bytes of text anchored at once, and suffixes sorted at once.
 CHUNK, BATCH = 1 << 20, 20_000
-#: Document ids of a size up to which they may be broadcast.
-BROADCAST_BYTES = 32 << 20
+#: Suffixes from which on a family ends with the next key.
+FAMILY = 8 * BATCH
 
 
 class Grams:
@@ -71,6 +75,8 @@ def segments(raws: list[bytes], length: int, grams: Grams) -> tuple[np.ndarray,
     w = length - k + 1
     size = np.array([len(r) for r in raws], np.int64)
     buf = np.frombuffer(b"".join(raws), np.uint8)
+    if len(buf) > POSITION:
+        raise ValueError(f"a text of {len(buf)} bytes: at most {POSITION} can be anchored")
     if len(buf) < length:
         return tuple(np.zeros(0, np.int64) for _ in range(5))
     h = grams.hashes(buf, k)
@@ -114,38 +120,59 @@ def anchored(docs: DataFrame, length: int) -> DataFrame:
 
 
 class Family:
-    """Suffix arrays of geometrically growing sizes over the suffixes seen, and which of these are repeated."""
+    """Suffix arrays of geometrically growing sizes over one text, and where in it repeated strings start.
+
+    A level is an array of positions in the order of their suffixes, one for every different string of the
+    wanted length. The strings themselves are laid out only while a level is scanned.
+    """
 
     def __init__(self, length: int):
-        self.length = length
-        self.levels: list[tuple[np.ndarray, np.ndarray]] = []  # (sorted distinct prefixes, a suffix that has each)
+        self.length, self.suffixes = length, 0
+        self.text = np.zeros(0, np.uint8)
         self.repeated = np.zeros(0, bool)
-
-    def add(self, prefixes: np.ndarray, weight: np.ndarray) -> None:
-        """New suffixes by their prefixes of the wanted length; weight: at how many places each stands."""
-        base = len(self.repeated)
-        self.repeated = np.concatenate((self.repeated, np.zeros(len(prefixes), bool)))
-        order = np.argsort(prefixes, kind="stable")
-        p = prefixes[order]
-        new = np.concatenate(([True], p[1:] != p[:-1]))
+        self.levels: list[np.ndarray] = []
+
+    def strings(self, at: np.ndarray) -> np.ndarray:
+        rows = np.lib.stride_tricks.sliding_window_view(self.text, self.length)[at]
+        return np.ascontiguousarray(rows).view(f"S{self.length}").reshape(-1)
+
+    def scan(self, level: np.ndarray, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where sorted strings belong in a level, and which of them stand there."""
+        known = self.strings(level)
+        at = np.searchsorted(known, found)
+        return at, known[np.minimum(at, len(known) - 1)] == found
+
+    def add(self, segments: list[bytes], weight: list[float]) -> np.ndarray:
+        """A batch of segments, and how often each stands in the corpus; gives their places in the text."""
+        size = np.array([len(x) for x in segments])
+        first = len(self.text) + np.cumsum(size) - size
+        self.text = np.concatenate((self.text, np.frombuffer(b"".join(segments), np.uint8)))
+        self.repeated = np.concatenate((self.repeated, np.zeros(size.sum(), bool)))
+        starts = size - self.length + 1
+        at = np.repeat(first - (np.cumsum(starts) - starts), starts) + np.arange(starts.sum())
+        found = self.strings(at)
+        order = np.argsort(found, kind="stable")
+        at, found, times = at[order], found[order], np.repeat(weight, starts)[order]
+        new = np.concatenate(([True], found[1:] != found[:-1]))
         group = np.cumsum(new) - 1
-        twice = np.bincount(group, weight[order]) >= 2
-        p, holder = p[new], base + order[new]
-        for known, whose in self.levels:
-            at = np.minimum(np.searchsorted(known, p), len(known) - 1)
-            same = known[at] == p
+        twice = np.bincount(group, times) >= 2
+        level, found = at[new], found[new]
+        for known in self.levels:
+            where, same = self.scan(known, found)
             twice |= same
-            self.repeated[whose[at[same]]] = True
-        self.repeated[base + order] = twice[group]
-        self.levels.append((p, holder))
-        while len(self.levels) > 1 and len(self.levels[-2][0]) < 2 * len(self.levels[-1][0]):
-            (a, x), (b, y) = self.levels.pop(), self.levels.pop()
-            p, holder = np.concatenate((b, a)), np.concatenate((y, x))
-            order = np.argsort(p, kind="stable")
-            p, holder = p[order], holder[order]
-            # a prefix of both levels was found when the later one was scanned, and both holders are marked
-            keep = np.concatenate(([True], p[1:] != p[:-1]))
-            self.levels.append((p[keep], holder[keep]))
+            self.repeated[known[where[same]]] = True
+        self.repeated[at] = twice[group]
+        self.suffixes += len(at)
+        self.levels.append(level)
+        while len(self.levels) > 1 and len(self.levels[-2]) < 2 * len(self.levels[-1]):
+            self._merge()
+        return first
+
+    def _merge(self) -> None:
+        """The last two levels become one; a string of both was found when the later one was scanned, and stays once."""
+        small, large = self.levels.pop(), self.levels.pop()
+        where, same = self.scan(large, self.strings(small))
+        self.levels.append(np.insert(large, where[~same], small[~same]))
 
 
 def spans(starts: np.ndarray, length: int) -> list[dict[str, int]]:
@@ -170,22 +197,15 @@ def matched(records: DataFrame, length: int) -> DataFrame:
 
         def absorb() -> None:
             nonlocal pending
-            if not waiting:
-                return
-            buf = np.frombuffer(b"".join(w[2] for w in waiting), np.uint8)
-            first = np.cumsum([0] + [len(w[2]) for w in waiting[:-1]])
-            n = [len(w[2]) - length + 1 for w in waiting]
-            at = np.concatenate([np.arange(f, f + m) for f, m in zip(first, n)])
-            rows = np.lib.stride_tricks.sliding_window_view(buf, length)[at]
-            family.add(np.ascontiguousarray(rows).view(f"S{length}").reshape(-1), np.repeat([float(w[3]) for w in waiting], n))
-            held.extend((w[0], w[1], m) for w, m in zip(waiting, n))
-            waiting.clear()
-            pending = 0
+            if waiting:
+                first = family.add([w[2] for w in waiting], [float(w[3]) for w in waiting])
+                held.extend((w[0], w[1], a, len(w[2]) - length + 1) for w, a in zip(waiting, first.tolist()))
+                waiting.clear()
+                pending = 0
 
         def close() -> pa.RecordBatch:
             nonlocal family
-            cut = np.cumsum([m for _, _, m in held])[:-1]
-            found = [(k, s, spans(np.flatnonzero(f), length)) for (k, s, _), f in zip(held, np.split(family.repeated, cut))]
+            found = [(k, s, spans(np.flatnonzero(family.repeated[a : a + n]), length)) for k, s, a, n in held]
             found = [x for x in found if x[2]]
             family = Family(length)
             held.clear()
@@ -195,7 +215,7 @@ def matched(records: DataFrame, length: int) -> DataFrame:
             for r in zip(*(c.to_pylist() for c in b.columns)):
                 if pending >= BATCH:
                     absorb()
-                    if r[0] != closed:  # no later suffix can match those held
+                    if family.suffixes >= FAMILY and r[0] != closed:
                         yield close()
                 waiting.append(r)
                 pending += len(r[2]) - length + 1
@@ -236,12 +256,15 @@ def decided(records: DataFrame, length: int, hot: int, width: int) -> DataFrame:
     many = materialise(records.groupBy("key").agg(F.count("*").alias("c")).filter(F.col("c") > hot).select("key"), "hot")
     if many.isEmpty():
         return matched(records.repartition("key").sortWithinPartitions("key", "seg"), length)
+    many = F.broadcast(many) if fits_broadcast(many) else many
     cold = records.join(many, "key", "left_anti")
     children = materialise(cut_ranges(records.join(many, "key", "left_semi"), length, width), "ranges")
-    alive = children.groupBy("key").agg(F.sum("mult").alias("m")).filter("m > 1").select("key")
-    distinct = children.join(alive, "key", "left_semi").groupBy("key", "seg").agg(F.sum("mult").alias("mult"), F.first("raw").alias("raw"), F.first("anc").alias("anc"))
-    below = materialise(decided(materialise(distinct, "records"), length, hot, max(1, width // 4)), "found")
-    up = children.join(below, ["key", "seg"]).select(F.col("pkey").alias("key"), F.col("pseg").alias("seg"), F.transform("spans", lambda s: F.struct((s.a + F.col("off")).alias("a"), (s.b + F.col("off")).alias("b"))).alias("spans"))
+    alive = children.groupBy("key").agg(F.sum("mult").alias("m"), F.count("*").alias("n")).filter("m > 1").select("key", "n")
+    distinct = join_spread(children, materialise(alive, "alive"), ["key"], "n").groupBy("key", "seg").agg(F.sum("mult").alias("mult"), F.first("raw").alias("raw"), F.first("anc").alias("anc"), F.count("*").alias("n"))
+    distinct = materialise(distinct, "records")
+    below = decided(distinct.select("key", "seg", "raw", "anc", "mult"), length, hot, max(1, width // 4))
+    below = materialise(below.join(distinct.select("key", "seg", "n"), ["key", "seg"]), "found")
+    up = join_spread(children, below, ["key", "seg"], "n").select(F.col("pkey").alias("key"), F.col("pseg").alias("seg"), F.transform("spans", lambda s: F.struct((s.a + F.col("off")).alias("a"), (s.b + F.col("off")).alias("b"))).alias("spans"))
     up = up.groupBy("key", "seg").agg(joined(F.array_sort(F.flatten(F.collect_list("spans")))).alias("spans"))
     return matched(cold.repartition("key").sortWithinPartitions("key", "seg"), length).unionByName(up)
 
@@ -261,9 +284,9 @@ def joined(lists):
 def repeated_spans(docs: DataFrame, length: int, hot: int) -> DataFrame:
     """(id, h, spans) of the texts (id, h, text) that lose bytes; spans are maximal and sorted."""
     rows = materialise(anchored(docs, length), "segments")
-    often = rows.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key")
-    rows = materialise(rows.join(often, "key", "left_semi"), "candidates")
-    kinds = rows.groupBy("key", "seg").agg(F.count("*").alias("mult"), F.min(F.struct("id", "h", "lo", "n", "anc")).alias("r"))
+    often = materialise(rows.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1"), "often")
+    rows = materialise(join_spread(rows, often, ["key"], "c", "left_semi"), "candidates")
+    kinds = materialise(rows.groupBy("key", "seg").agg(F.count("*").alias("mult"), F.min(F.struct("id", "h", "lo", "n", "anc")).alias("r")), "kinds")
     by_doc = materialise(kinds.groupBy("r.id", "r.h").agg(F.collect_list(F.struct("key", "seg", "mult", "r.lo", "r.n", "r.anc")).alias("want")), "wanted")
     texts = narrowed(docs, by_doc)
     same = F.col("d.id").eqNullSafe(F.col("w.id")) & (F.col("d.h") == F.col("w.h"))
@@ -271,15 +294,16 @@ def repeated_spans(docs: DataFrame, length: int, hot: int) -> DataFrame:
     whole = texts.alias("d").join(by_doc.alias("w"), same).select(F.encode("d.text", "UTF-8").alias("raw"), "w.want")
     records = whole.select(F.explode(F.transform("want", lambda x: F.struct(x.key.alias("key"), x.seg.alias("seg"), x.mult.alias("mult"), x.anc.alias("anc"), F.substring("raw", x.lo + 1, x.n + (length - 1)).alias("raw")))).alias("x")).select("x.*")
     records = materialise(records, "records").dropDuplicates(["key", "seg"])
-    found = materialise(decided(records, length, hot, length // 8), "found")
-    placed = rows.join(found, ["key", "seg"]).select("id", "h", F.transform("spans", lambda s: F.struct((s.a + F.col("lo")).alias("a"), (s.b + F.col("lo")).alias("b"))).alias("spans"))
-    return placed.groupBy("id", "h").agg(joined(F.array_sort(F.flatten(F.collect_list("spans")))).alias("spans"))
+    found = decided(records, length, hot, length // 8).join(kinds.select("key", "seg", "mult"), ["key", "seg"])
+    placed = join_spread(rows, materialise(found, "found"), ["key", "seg"], "mult").select("id", "h", F.transform("spans", lambda s: F.struct((s.a + F.col("lo")).alias("a"), (s.b + F.col("lo")).alias("b"))).alias("spans"))
+    # a set: equal rows bring equal spans
+    return placed.groupBy("id", "h").agg(joined(F.array_sort(F.flatten(F.collect_set("spans")))).alias("spans"))
 
 
 def narrowed(docs: DataFrame, some: DataFrame) -> DataFrame:
     """Only the documents with an id in some, if these ids are few enough to broadcast; else all."""
     ids = some.select("id").distinct()
-    return docs.join(F.broadcast(ids), docs.id.eqNullSafe(ids.id), "left_semi") if ids.count() * 16 < BROADCAST_BYTES else docs
+    return docs.join(F.broadcast(ids), docs.id.eqNullSafe(ids.id), "left_semi") if fits_broadcast(ids) else docs
 
 
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, hot: int = 1000, keep: tuple[str, ...] = (), with_text: bool = False) -> DataFrame:
@@ -287,10 +311,10 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     names = {f"x{i}": c for i, c in enumerate(keep)}
     docs = picked(df, id=id_col, text=text_col, **names).withColumn("text", F.coalesce("text", F.lit(""))).withColumn("h", F.xxhash64("text"))
     found = materialise(repeated_spans(docs.select("id", "h", "text"), length, hot), "spans")
-    size = found.select("id").distinct().count() * 16
     ids = found.select("id").distinct()
-    hit = docs.join(F.broadcast(ids) if size < BROADCAST_BYTES else ids, docs.id.eqNullSafe(ids.id), "left_semi")
-    clean = docs.join(F.broadcast(ids) if size < BROADCAST_BYTES else ids, docs.id.eqNullSafe(ids.id), "left_anti")
+    few = F.broadcast(ids) if fits_broadcast(ids) else ids
+    hit = docs.join(few, docs.id.eqNullSafe(ids.id), "left_semi")
+    clean = docs.join(few, docs.id.eqNullSafe(ids.id), "left_anti")
     same = F.col("d.id").eqNullSafe(F.col("s.id")) & (F.col("d.h") == F.col("s.h"))
     hit = hit.alias("d").join(found.alias("s"), same, "left").select("d.id", *(f"d.{c}" for c in names), "d.text", "s.spans")
     every = hit.unionByName(clean.select("id", *names, "text", F.lit(None).cast(SPANS).alias("spans")))

@@ -48,6 +48,42 @@ def test_remove_repeats(spark, monkeypatch, length, hot, batch):
     assert sum(x[1] for x in want.values()) > 1000
 
 
+def test_family_keeps_levels_in_order():
+    r = random.Random(1)
+    levels = 0
+    for _ in range(200):
+        length = r.choice([2, 3, 5])
+        family, held, weights, places = repeats.Family(length), [], [], []
+        for _ in range(r.randrange(1, 12)):
+            own = [bytes(r.choice(b"ab\0") for _ in range(r.randrange(length, length + 12))) for _ in range(r.randrange(1, 5))]
+            times = [float(r.choice([1, 1, 2])) for _ in own]
+            places += family.add(own, times).tolist()
+            held, weights = held + own, weights + times
+        count = {}
+        for x, w in zip(held, weights):
+            for i in range(len(x) - length + 1):
+                count[x[i : i + length]] = count.get(x[i : i + length], 0) + w
+        for x, at in zip(held, places):
+            want = [count[x[i : i + length]] >= 2 for i in range(len(x) - length + 1)]
+            assert family.repeated[at : at + len(want)].tolist() == want
+        sizes = [len(x) for x in family.levels]
+        assert all(a >= 2 * b for a, b in zip(sizes, sizes[1:])) and all((s[1:] > s[:-1]).all() for s in map(family.strings, family.levels))
+        levels = max(levels, len(sizes))
+    assert levels > 2
+
+
+def test_a_hot_string_and_long_texts(spark, monkeypatch):
+    monkeypatch.setattr(repeats, "BATCH", 200)
+    monkeypatch.setattr(repeats, "FAMILY", 400)
+    r = random.Random(5)
+    make = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    line = make(60)
+    texts = [make(30) + line + make(30) for _ in range(40)] + [line * 3] * 30 + [make(50_000) + line]
+    out = repeats.remove_repeats(frame(spark, texts, [*range(len(texts))]), length=40, hot=5).collect()
+    got = {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in out}
+    assert got == dict(enumerate(brute(texts, 40)))
+
+
 def test_repeated_rows_and_empty(spark):
     t = "some text that is long enough, " * 3
     out = repeats.remove_repeats(frame(spark, [t, t, "z"], [1, 1, 2]), length=40).collect()
