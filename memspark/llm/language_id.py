@@ -3,11 +3,14 @@
 The pieces are those of a fixed public vocabulary, and every single letter. A language gives each
 piece a probability; a word's probability is the sum over all ways to cut it into pieces, found by
 the forward algorithm; a text's is the product over its words. The probabilities are learned by
-expectation maximisation (forward and backward sums) on a bounded sample of labelled texts.
+expectation maximisation (forward and backward sums) on a bounded sample of labelled texts. Words of up to
+SHORT_WORD letters are summed many at once; longer ones (text without spaces) one by one, in logarithms and
+slice by slice, over their whole length, so that no sum is cut and none underflows.
 
 Defined cases: a text of null or without a letter is ``und`` with score 0; so is every text where no
 language could be learned. Rows with a null language, and with a null id, are never learned from.
-Repeated rows are predicted each. Ties go to the language that sorts first. Extra columns are ignored.
+Very long texts and words count whole. Repeated rows are predicted each. Ties go to the language that sorts
+first. No rows give no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,14 +26,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import crc_bucket, picked
+from .common import crc_bucket, fits_broadcast, picked
 
-#: Letters a word is cut at before it is scored; longer runs are scored in parts.
-LONGEST_WORD = 24
+#: Letters up to which words are summed many at once, and letters of a longer one looked at at once.
+SHORT_WORD, SLICE = 24, 4096
 START = "▁"
 LETTERS = regex.compile(r"\p{L}+")
-#: Chunks, and words, a worker remembers before it starts anew.
-CACHE = 400_000
+#: Chunks, and words, a worker remembers before it starts anew, and the letters in all of them.
+CACHE, CACHE_LETTERS = 400_000, 16_000_000
 
 
 def vocabulary_pieces(path: str) -> list[str]:
@@ -43,11 +46,7 @@ def vocabulary_pieces(path: str) -> list[str]:
 
 
 def words_in(chunk: str) -> list[str]:
-    out = []
-    for run in LETTERS.findall(chunk.lower()):
-        run = START + run
-        out += [run[a : a + LONGEST_WORD] for a in range(0, len(run), LONGEST_WORD)]
-    return out
+    return [START + run for run in LETTERS.findall(chunk.lower())]
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -145,6 +144,55 @@ class Lattice:
         return np.bincount(self.piece, share * weight[self.word], len(p))
 
 
+def _by_end(table: PieceTable, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, piece, first) of all pieces in text, sorted by where they end; those that end at e are first[e]:first[e + 1]."""
+    _, start, end, piece = table.edges([text], np.array([len(text)]))
+    order = np.argsort(end, kind="stable")
+    return start[order], piece[order], np.searchsorted(end[order], np.arange(len(text) + 2))
+
+
+def _log_sum(x: np.ndarray) -> np.ndarray:
+    """Over the first axis."""
+    m = x.max(0)
+    return m + np.log(np.exp(x - m).sum(0))
+
+
+def long_total(table: PieceTable, word: str, logs: np.ndarray) -> np.ndarray:
+    """Log probability of a word of any length, by language; logs: piece x language."""
+    most = max([1, *table.of])
+    done = np.zeros((1, logs.shape[1]))  # of the last positions before the slice, and its beginning
+    for a in range(0, len(word), SLICE):
+        known = len(done) - 1
+        text = word[a - known : a + SLICE]
+        start, piece, first = _by_end(table, text)
+        alpha = np.concatenate((done, np.zeros((len(text) - known, logs.shape[1]))))
+        for e in range(known + 1, len(text) + 1):
+            s = slice(first[e], first[e + 1])
+            alpha[e] = _log_sum(alpha[start[s]] + logs[piece[s]])
+        done = alpha[-min(most, len(alpha)) :]
+    return done[-1]
+
+
+def long_expected(table: PieceTable, word: str, logs: np.ndarray) -> np.ndarray:
+    """Expected piece counts of a long word under one language; of a slice's length at once."""
+    out = np.zeros(len(logs))
+    for a in range(0, len(word), SLICE):
+        text = word[a : a + SLICE]
+        start, piece, first = _by_end(table, text)
+        end = np.repeat(np.arange(len(text) + 1), np.diff(first))
+        forth, back = np.zeros(len(text) + 1), np.zeros(len(text) + 1)
+        for e in range(1, len(text) + 1):
+            s = slice(first[e], first[e + 1])
+            forth[e] = _log_sum(forth[start[s]] + logs[piece[s]])
+        order = np.argsort(start, kind="stable")
+        begins = np.searchsorted(start[order], np.arange(len(text) + 1))
+        for b in range(len(text) - 1, -1, -1):
+            o = order[begins[b] : begins[b + 1]]
+            back[b] = _log_sum(back[end[o]] + logs[piece[o]])
+        out += np.bincount(piece, np.exp(forth[start] + logs[piece] + back[end] - forth[-1]), len(logs))
+    return out
+
+
 @dataclass
 class Model:
     languages: list[str]
@@ -155,10 +203,17 @@ class Model:
 def word_scores(model: Model, table: PieceTable, words: list[str]) -> np.ndarray:
     """log probability, word x language."""
     out = np.zeros((len(words), len(model.languages)))
-    for a in range(0, len(words), 5_000):
-        part = Lattice(words[a : a + 5_000], table)
+    short = np.array([i for i, w in enumerate(words) if len(w) <= SHORT_WORD], np.int64)
+    for a in range(0, len(short), 5_000):
+        at = short[a : a + 5_000]
+        part = Lattice([words[i] for i in at], table)
         for k, p in enumerate(model.p):
-            out[a : a + 5_000, k] = np.log(part.total(part.forward(p)))
+            out[at, k] = np.log(part.total(part.forward(p)))
+    if len(short) < len(words) and model.languages:
+        logs = np.log(model.p.T)
+        for i, w in enumerate(words):
+            if len(w) > SHORT_WORD:
+                out[i] = long_total(table, w, logs)
     return out
 
 
@@ -168,13 +223,16 @@ def fit(counts: dict[str, dict[str, int]], pieces: list[str], rounds: int = 4, s
     languages = sorted(counts)
     out = []
     for lang in languages:
-        words = sorted(counts[lang])
+        words = sorted(w for w in counts[lang] if len(w) <= SHORT_WORD)
+        long = sorted(w for w in counts[lang] if len(w) > SHORT_WORD)
         weight = np.array([counts[lang][w] for w in words], float)
         p = np.full(len(pieces) + 1, 1 / (len(pieces) + 1))
         for _ in range(rounds):
             c = np.full(len(p), smooth)
             for a in range(0, len(words), 5_000):
                 c += Lattice(words[a : a + 5_000], table).expected(p, weight[a : a + 5_000])
+            for w in long:
+                c += counts[lang][w] * long_expected(table, w, np.log(p))
             p = c / c.sum()
         out.append(p)
     return Model(languages, pieces, np.array(out).reshape(len(languages), len(pieces) + 1))
@@ -185,7 +243,12 @@ def sample_counts(df: DataFrame, id_col: str, text_col: str, lang_col: str, fold
     bucket = crc_bucket("id", folds)
     labelled = picked(df, id=id_col, text=text_col, lang=lang_col).filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (bucket != held))
     first = W.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    some = labelled.select("id", "lang").withColumn("r", F.row_number().over(first)).filter(F.col("r") <= max_docs_per_lang).select("id", "lang").distinct()
+    ids = labelled.select("id", "lang")
+    # so few rows go to a language's ranking that one task can rank them: about four times as many as are taken, by the same hash
+    share = ids.groupBy("lang").agg((F.lit(4.0 * max_docs_per_lang + 100) / F.count("*")).alias("share"))
+    luck = F.xxhash64("id") / F.lit(2.0**64) + 0.5
+    likely = ids.join(F.broadcast(share) if fits_broadcast(share) else share, "lang").filter(luck <= F.col("share"))
+    some = likely.withColumn("r", F.row_number().over(first)).filter(F.col("r") <= max_docs_per_lang).select("id", "lang").distinct()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: dict[tuple[str, str], int] = {}
@@ -196,7 +259,7 @@ def sample_counts(df: DataFrame, id_col: str, text_col: str, lang_col: str, fold
         yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in own], pa.string()), pa.array([k[1] for k in own], pa.string()), pa.array(own.values(), pa.int64())], names=["lang", "word", "n"])
 
     # at most max_docs_per_lang ids of each language
-    texts = labelled.join(F.broadcast(some), ["id", "lang"], "left_semi").select("lang", "text")
+    texts = labelled.join(F.broadcast(some) if fits_broadcast(some) else some, ["id", "lang"], "left_semi").select("lang", "text")
     counts: dict[str, dict[str, int]] = {}
     for lang, word, n in texts.mapInArrow(count, "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n")).toLocalIterator():
         counts.setdefault(lang, {})[word] = n
@@ -213,6 +276,7 @@ class Scorer:
         self.model, self.table = model, PieceTable(model.pieces)
         self.chunks: dict[str, int] = {}
         self.words: dict[str, int] = {}
+        self.letters = 0
         self.chunk_rows = np.zeros((CACHE, len(model.languages) + 1))  # the last column counts words
         self.word_rows = np.zeros((CACHE, len(model.languages)))
 
@@ -222,14 +286,14 @@ class Scorer:
 
     def learn(self, chunks: set[str]) -> None:
         new = list(chunks - self.chunks.keys())
-        if len(self.chunks) + len(new) > CACHE:
+        if len(self.chunks) + len(new) > CACHE or self.letters > CACHE_LETTERS:
             self.chunks.clear()
+            self.words.clear()
+            self.letters = 0
             new = list(chunks)
         own = [words_in(c) for c in new]
-        wanted = {w for ws in own for w in ws}
-        if len(self.words) + len(wanted - self.words.keys()) > CACHE:
-            self.words.clear()
-        words = list(wanted - self.words.keys())
+        words = list({w for ws in own for w in ws} - self.words.keys())
+        self.letters += sum(map(len, new)) + sum(map(len, words))
         self.word_rows = self._room(self.words, self.word_rows, len(words))
         start = len(self.words)
         self.word_rows[start : start + len(words)] = word_scores(self.model, self.table, words)
