@@ -8,7 +8,8 @@ a window stand as one window and are looked up at every place.
 
 Defined cases: null and empty texts have no words; null and wordless items have no windows. Items with a
 null id mark words as hit but are not listed. Repeated documents give a row each; repeated items count
-once by id. No items, no hits. Extra columns are ignored.
+once by id. No items, no hits; no documents, no rows. A text may have up to 2**28 words (places have 28 bits).
+Extra columns are ignored.
 """
 
 from __future__ import annotations

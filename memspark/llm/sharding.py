@@ -2,14 +2,17 @@
 
 Records are ordered by (hash of the text, hash of the id). A sample of keys, drawn with chances in
 proportion to record sizes, gives the quantiles that cut this order into many ranges of about equal
-bytes; equal texts lie together, and a text with very many copies is cut by the ids' hashes. A range
+bytes; equal texts are neighbours in it, and a text with very many copies is cut by the ids' hashes. A range
 with too many rows (many tiny records) is subdivided once more. Sizes and counts of the ranges are
 summed, so each record's exact place in the whole order follows inside its own range; the shard is the
-share of the bytes before it, so shards differ by less than the largest record. Slots number a shard's
-records in order.
+share of the bytes before it. A shard's bytes are off its even share by less than the largest record at either
+end, so two shards differ by less than twice that; its ends may fall inside a group of equal texts. Slots
+number a shard's records in order.
 
-Defined cases: a null text has size 1 and the checksum of no bytes. Repeated rows are placed each, and a
-null id is ordered like any other. An empty table gives no rows. Extra columns are ignored.
+Defined cases: a null text has size 1 and the checksum of no bytes. A text of any length is one record, so a
+longer one than an even share makes its shard so large, and others may be left empty. Repeated rows are placed
+each; rows equal in id and text have one place in the order, so all of them are numbered by one task. A null id
+is ordered like any other. An empty table gives no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations

@@ -6,7 +6,8 @@ at all its places at once (overlapping places from the left, every other one); r
 leave, and what is left of them is their token count. Special strings inside a text count as one
 token each, as the tokenizer's own default has it.
 
-Null and empty texts have 0 bytes and 0 tokens. Repeated rows are counted each. Extra columns are ignored.
+Defined cases: null and empty texts have 0 bytes and 0 tokens. Very long texts are counted whole, a batch of
+pre-tokens at a time. Repeated rows are counted each. No rows give no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations

@@ -9,9 +9,10 @@ Learned from at most ``max_train`` labelled documents (chosen by the id's hash)
 fold. Which features are weighed at all is decided on the same sample: at most ``max_features`` that
 toxic documents hold most clearly more often.
 
-Defined cases: null and empty texts have no sentences and score 0. Without labels, or with labels of one
-kind only, every score is 0. Of repeated labels of a document the highest counts. Repeated rows are
-scored each. Extra columns are ignored.
+Defined cases: null and empty texts have no sentences and score 0. Very long texts are scored whole, sentence
+by sentence. Without labels, or with labels of one kind only, every score is near 0. Of repeated labels of a
+document the highest counts; null ids are not learned from. Repeated rows are scored each. Of equally bad
+sentences the first is the worst. No rows give no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
