@@ -28,6 +28,8 @@ def test_encode_and_decode(spark, monkeypatch):
             assert (got[i].n_tokens, got[i].ids_sha256) == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()), repr(t)
             assert got[i].decoded_sha256 == hashlib.sha256((t or "").encode()).hexdigest()
     assert byte_bpe.encode(frame(spark, ["a"]).limit(0), RANKS).collect() == []
+    twice = byte_bpe.encode(frame(spark, ["same row", "same row", None, None], [1, 1, None, None]), RANKS).collect()
+    assert sorted((x.doc_id or 0, x.n_tokens) for x in twice) == [(0, 0), (0, 0), (1, len(lib.encode_ordinary("same row")))] + [(1, len(lib.encode_ordinary("same row")))]
 
 
 def test_heap_is_exact():

@@ -1,6 +1,7 @@
 """Operators that give a row per document, against brute force or the tokenizer's own library."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -66,20 +67,70 @@ def test_licences(spark):
     assert got[len(texts) - 1].labels == ""
 
 
+def longest_of(seq, file, i):
+    """The longest run of seq that ends at file's place i."""
+    return max((n for n in range(1, min(i + 1, len(seq)) + 1) if any(seq[a : a + n] == file[i + 1 - n : i + 1] for a in range(len(seq) - n + 1))), default=0)
+
+
 def test_suffix_automaton_matches_brute_force():
     r = random.Random(3)
-    for _ in range(100):
+    for _ in range(200):
         seqs = [[r.randrange(3) for _ in range(r.randrange(1, 9))] for _ in range(3)]
         file = [r.randrange(4) for _ in range(12)]
-        runs = {tuple(s[a:b]) for s in seqs for a in range(len(s)) for b in range(a + 1, len(s) + 1)}
-        longest = [max((n for n in range(1, i + 2) if tuple(file[i + 1 - n : i + 1]) in runs), default=0) for i in range(len(file))]
-        want = {(i + 1 - n, n) for i, n in enumerate(longest) if n and (i + 1 == len(file) or longest[i + 1] != n + 1)}
-        got = licences.SuffixAutomaton(seqs).matches(file, 1)
-        assert {(a, n) for a, n, _ in got} == want
-        a = licences.SuffixAutomaton(seqs)
-        for at, n, v in a.matches(file, 1):
-            for s, ends in a.ends[v].items():
-                assert sorted(ends) == [e for e in range(len(seqs[s])) if seqs[s][e + 1 - n : e + 1] == file[at : at + n] and e + 1 >= n]
+        least = r.choice([1, 2, 3])
+        got = licences.SuffixAutomaton(seqs).matches(file, least)
+        for s, seq in enumerate(seqs):
+            longest = [longest_of(seq, file, i) for i in range(len(file))]
+            want = [(i + 1 - n, n) for i, n in enumerate(longest) if n >= least and (i + 1 == len(file) or longest[i + 1] != n + 1)]
+            assert sorted((a, n) for a, n, _ in got.get(s, [])) == want
+            for at, n, ends in got.get(s, []):
+                assert sorted(ends) == [e for e in range(len(seq)) if e + 1 >= n and seq[e + 1 - n : e + 1] == file[at : at + n]]
+
+
+def chain_by_trying_all(hits, gap):
+    best = 0
+    hits = sorted(hits)
+    for mask in range(1, 1 << len(hits)):
+        chain = [h for i, h in enumerate(hits) if mask >> i & 1]
+        value, ok = chain[0][2], True
+        for (a, p, m), (at, place, n) in zip(chain, chain[1:]):
+            cut = max(0, a + m - at, p + m - place)
+            ok &= at > a and place > p and cut < n and at - (a + m) <= gap
+            value += n - cut - max(0, at + cut - (a + m))
+        best = max(best, value if ok else 0)
+    return best
+
+
+def test_chains_match_brute_force():
+    r = random.Random(6)
+    for _ in range(300):
+        hits = [(r.randrange(20), r.randrange(20), r.randrange(2, 7)) for _ in range(r.randrange(1, 8))]
+        gap = r.choice([0, 2, 8])
+        assert licences.best_chain(hits, gap)[0] == chain_by_trying_all(hits, gap)
+
+
+LICENCE_NOTICES = [
+    ("This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.", "cc-by-nd", 1),
+    ("This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.", "cc-by-nc-sa", 1),
+    ("This work is licensed under a Creative Commons Attribution 3.0 Unported License.", "cc-by", 1),
+    ("Licensed under CC BY-SA 4.0", "cc-by-sa", 1),
+    ("Licensed under CC BY", "", 0),
+    ("This library is distributed under the BSD License", "", 0),
+    ("Neither the name of the copyright holder nor the names of its contributors may be used to endorse products derived from this software without specific prior written permission.", "bsd", None),
+    ("THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.", "mit", 1),
+    ("You should have received a copy of the GNU Affero General Public License along with this program.", "agpl,gpl", 1),
+    ("You may not use this file except in compliance with common sense", "", 0),
+]
+
+
+def test_licence_notices(spark):
+    texts = [t for t, _, _ in LICENCE_NOTICES] + [" ".join(["word"] * 5000) + " " + LICENCE_NOTICES[0][0]]
+    got = sorted(licences.scan_licences(frame(spark, [*texts, texts[0]])).collect(), key=lambda x: x.doc_id)
+    for (t, labels, score), x in zip(LICENCE_NOTICES, got):
+        assert x.labels == labels and (score is None or x.score == score), (t, x)
+    assert got[-2].labels == got[-1].labels == "cc-by-nd"
+    assert 0.8 <= got[6].score < 1
+    assert licences.scan_licences(frame(spark, texts).limit(0)).collect() == []
 
 
 def test_language_id(spark):
@@ -97,6 +148,34 @@ def test_language_id(spark):
     assert language_id.identify(df.limit(0), PIECES).collect() == []
 
 
+def test_language_id_of_odd_rows(spark):
+    own = [("e", "en", "the and ing " * 20), ("f", "fr", "eau que les " * 20)] * 12 + [("l", None, "eauqueles" * 900), ("m", None, "theand" * 4000), ("l", None, "eauqueles" * 900), ("z", None, None)]
+    df = spark.createDataFrame([(f"{a}{i % 30}", b, c, 0.5, "x", "y") for i, (a, b, c) in enumerate(own)], "doc_id string, lang string, text string, score double, lang_pred string, held_out string")
+    got = language_id.identify(df, PIECES).collect()
+    assert len(got) == len(own) and got[0].__fields__ == ["doc_id", "held_out", "lang_pred", "score"]
+    by = {r.doc_id[0]: r.lang_pred for r in got}
+    assert by == {"e": "en", "f": "fr", "l": "fr", "m": "en", "z": "und"}
+    # a language alone is certain; without any none is
+    assert {r.lang_pred for r in language_id.identify(df.filter("lang = 'en' OR lang IS NULL"), PIECES).collect()} == {"en", "und"}
+    assert {r.lang_pred for r in language_id.identify(df.withColumn("lang", language_id.F.lit(None).cast("string")), PIECES).collect()} == {"und"}
+
+
+def test_long_words_are_summed_as_short_ones(monkeypatch):
+    import numpy as np
+
+    r, g = random.Random(8), np.random.default_rng(8)
+    pieces = sorted({"▁", "a", "b", "ab", "▁a", "bab", "aab", "babaa"})
+    table, p = language_id.PieceTable(pieces), g.dirichlet(np.ones(len(pieces) + 1), 2)
+    words_ = ["▁" + "".join(r.choice("abc") for _ in range(n)) for n in (1, 3, 5, 12, 20, 23)]
+    lat = language_id.Lattice(words_, table)
+    for k in (0, 1):
+        assert sum(language_id.long_expected(table, w, np.log(p[k])) for w in words_) == pytest.approx(lat.expected(p[k], np.ones(len(words_))))
+    for size in (4096, 16, 7, 5, 1):
+        monkeypatch.setattr(language_id, "SLICE", size)
+        for k in (0, 1):
+            assert [language_id.long_total(table, w, np.log(p.T))[k] for w in words_] == pytest.approx(np.log(lat.total(lat.forward(p[k]))).tolist())
+
+
 def test_forward_sums_all_segmentations():
     pieces = {"▁": 0, "a": 1, "b": 2, "ab": 3, "▁a": 4, "bab": 5}
     import numpy as np
@@ -134,6 +213,30 @@ def test_toxicity(spark):
     assert {x.predicted for x in none} == {0}
 
 
+def test_toxicity_is_a_noisy_or():
+    r = random.Random(12)
+    vocab = ["good", "moronic", "idiots", "idiotic", "word", "other"]
+    model = toxicity.Model(-3.0, {"moronic": 2.5, "idiot*": 1.5, "idiots": 0.5, "good": -1.0})
+    texts = [None, "", " ... ", "12 34."] + [". ".join(" ".join(r.choice(vocab) for _ in range(r.randrange(1, 5))) for _ in range(r.randrange(1, 6))) for _ in range(60)] + ["word. " * 5000]
+    for t in texts:
+        left = 1.0
+        for s in re.split(r"[.!?\n]+", t or ""):
+            ws = set(re.findall(r"[^\W\d_]+", s.lower()))
+            if ws:
+                z = -3.0 + sum(model.weight.get(w, 0) for w in ws) + sum(model.weight.get(x, 0) for x in {w[:5] + "*" for w in ws if len(w) > 5})
+                left *= 1 - 1 / (1 + math.exp(-z))
+        assert model.score(t) == pytest.approx(1 - left), t
+
+
+def test_toxicity_of_odd_rows(spark):
+    d = spark.createDataFrame([(1, "idiot idiot. fine", 0.1, 3), (1, "idiot idiot. fine", 0.1, 3), (2, "nice. " * 3000 + "idiot", None, None)], "doc_id bigint, text string, score double, predicted int")
+    y = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id bigint, toxic int")
+    learn = spark.createDataFrame([(i, "idiot here" if i % 2 else "nice here") for i in range(40)], "doc_id bigint, text string")
+    got = toxicity.score(d, toxicity.train(learn, y)).collect()
+    assert [x.predicted for x in got] == [1, 1, 1] and got[0].worst_sentence == got[1].worst_sentence == "idiot idiot"
+    assert toxicity.score(d.limit(0), toxicity.train(learn.limit(0), y)).collect() == []
+
+
 def contaminated(texts, items, span=10):
     windows = {}
     for i, t in items:
@@ -211,6 +314,16 @@ def test_fingerprints(spark):
     one = fingerprints.fingerprints(frame(spark, ["some text of a few words here"])).collect()[0]
     assert one.near_next == 1
     assert fingerprints.fingerprints(frame(spark, ["a"]).limit(0)).collect() == []
+    # ids without a number, many of them null
+    odd = [(None if i % 3 == 0 else f"k{i * 7919 % 1000:04d}", f"text number {i} " * (i % 5)) for i in range(400)]
+    for per in (1000, 20):
+        got = fingerprints.fingerprints(spark.createDataFrame(odd, "doc_id string, text string"), rows_per_range=per).collect()
+        assert len(got) == len(odd)
+        named = sorted(((i, t) for i, t in odd if i), reverse=True)
+        sha = {x.doc_id: x.edited_sha256 for x in got if x.doc_id}
+        for (i, t), (_, nxt) in zip(named, named[1:]):
+            half = len(t) // 2
+            assert sha[i] == hashlib.sha256((t[: len(t) - half] + nxt[:half]).encode()).hexdigest()
     twice = fingerprints.fingerprints(frame(spark, ["b c", "b c", None, "a"], [1, 1, None, None])).collect()
     assert len(twice) == 4 and len({x.fingerprint for x in twice if x.n_chars == 3}) == 1
 
