@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from .api import MemoryDB
 from .functions import text
+from .operators import search
 
 #: Importance of checkpoints, of their writes, and of messages by role.
 CHECKPOINT_IMPORTANCE, WRITE_IMPORTANCE = 0.9, 0.7
@@ -22,7 +23,7 @@ def role_importance(role: str) -> float:
 
 
 class ChatMemory:
-    """add, query, get_all, put, set, reset: memory of a conversation's messages."""
+    """add, query, get_all, put, set, save, search, reset: memory of a conversation's messages."""
 
     def __init__(self, db: MemoryDB, agent_id: str | None = None, token_budget: int = 800):
         self.db, self.agent_id, self.budget = db, agent_id or db.agent_id, token_budget
@@ -32,9 +33,14 @@ class ChatMemory:
 
     put = add
 
+    @classmethod
+    def from_defaults(cls, db: MemoryDB, messages: list[dict] | None = None, **settings) -> ChatMemory:
+        own = cls(db, **settings)
+        own.set(messages or [])
+        return own
+
     def set(self, messages: list[dict]) -> None:
-        """Replaces the agent's messages."""
-        self.reset()
+        """Adds messages to those that are there; reset begins anew."""
         if messages:
             self.db.remember_many([{"content": m["content"], "agent_id": self.agent_id, "importance": role_importance(m.get("role", "")), "metadata": {"role": m.get("role", "")}} for m in messages])
 
@@ -43,6 +49,16 @@ class ChatMemory:
 
     get = query
 
+    def save(self, value: str, metadata: dict | None = None) -> str:
+        """A storage backend's write; importance may come with the metadata."""
+        meta = dict(metadata or {})
+        return self.db.remember(value, self.agent_id, float(meta.pop("importance", 0.5)), metadata=meta)
+
+    def search(self, query: str, limit: int = 3, score_threshold: float = 0.0) -> list[dict]:
+        """A storage backend's read: the best rows with their scores, those below the threshold left out."""
+        rows = self.db.recall(query, self.agent_id, self.budget, max_results=limit).filter(F.col("score") >= score_threshold)
+        return [{"id": r["id"], "content": r["packed"], "score": r["score"]} for r in rows.limit(limit).collect()]
+
     def get_all(self) -> list[str]:
         return [r["content"] for r in self.db.episodic().filter(F.col("agent_id") == self.agent_id).orderBy("created_at", "id").toLocalIterator()]
 
@@ -109,14 +125,22 @@ class KeyValueStore:
         m = rows.withColumn("m", F.from_json("metadata", "namespace array<string>, key string"))
         return m.filter(F.col("m.key").isNotNull()).select("id", "content", "created_at", F.col("m.namespace").alias("namespace"), F.col("m.key").alias("key"))
 
-    def search(self, prefix: tuple[str, ...], query: str | None = None, limit: int = 10, offset: int = 0) -> list[dict]:
+    def search(self, prefix: tuple[str, ...], query: str | None = None, limit: int | None = 10, offset: int = 0) -> list[dict]:
+        """Items below a prefix: by age, or the nearest to a query. No limit gives all."""
         items = self._items().filter(under(F.col("namespace"), prefix))
         if query:
-            found = self.db.recall(query, token_budget=1 << 30, memory_types=("episodic",), max_results=1 << 20).select("id", "out_pos")
-            items = items.join(found, "id").orderBy("out_pos")
+            rows = self.db.episodic().select(F.col("id").alias("id"), "embedding").join(items, "id")
+            q = self.db.spark.createDataFrame([(0, self.db.embed([query])[0])], "query_id int, vec array<float>")
+            most = (1 << 30) if limit is None else offset + limit
+            items = search.nearest(rows, q, most).orderBy("near_rank")
         else:
             items = items.orderBy("created_at", "id")
-        return [{"namespace": tuple(r["namespace"]), "key": r["key"], "value": json.loads(r["content"])} for r in items.offset(offset).limit(limit).collect()]
+        items = items.offset(offset) if limit is None else items.offset(offset).limit(limit)
+        return [{"namespace": tuple(r["namespace"]), "key": r["key"], "value": json.loads(r["content"])} for r in items.collect()]
+
+    def delete_under(self, prefix: tuple[str, ...]) -> int:
+        """All items below a prefix, in one change."""
+        return self.db.store.delete(self._items().filter(under(F.col("namespace"), prefix)).select("id"), "episodic")
 
     def list_namespaces(self, prefix: tuple[str, ...] = (), suffix: tuple[str, ...] = (), max_depth: int | None = None, limit: int = 100, offset: int = 0) -> list[tuple[str, ...]]:
         """Distinct, in the order first seen."""
@@ -165,9 +189,16 @@ class Checkpointer:
     def put_writes(self, thread: str, checkpoint_id: str, task: str, writes: list) -> None:
         self.kv.put(("writes", thread, checkpoint_id), task, {"writes": writes}, WRITE_IMPORTANCE)
 
-    def list(self, thread: str, limit: int = 100) -> list[dict]:
-        rows = self.kv._items().filter(under(F.col("namespace"), ("checkpoint", thread))).orderBy(F.desc("created_at"), F.desc("key")).limit(limit)
-        return [json.loads(r["content"]) for r in rows.collect()]
+    def list(self, thread: str, limit: int | None = 100, before: str | None = None, filter: dict | None = None) -> list[dict]:  # noqa: A002
+        """The newest first; only those older than the checkpoint ``before``, and with these values in their metadata."""
+        rows = self.kv._items().filter(under(F.col("namespace"), ("checkpoint", thread)))
+        if before is not None:
+            edge = rows.filter(F.col("key") == before).select(F.struct("created_at", "key").alias("edge"))
+            rows = rows.join(F.broadcast(edge)).filter(F.struct("created_at", "key") < F.col("edge"))
+        for k, v in (filter or {}).items():
+            rows = rows.filter(F.get_json_object("content", f"$.metadata['{k}']") == (v if isinstance(v, str) else json.dumps(v)))
+        rows = rows.orderBy(F.desc("created_at"), F.desc("key"))
+        return [json.loads(r["content"]) for r in (rows.limit(limit) if limit is not None else rows).collect()]
 
     def get_tuple(self, thread: str, checkpoint_id: str | None = None) -> dict | None:
         if checkpoint_id is None:
@@ -176,7 +207,7 @@ class Checkpointer:
         else:
             found = self.kv.get(("checkpoint", thread), checkpoint_id)
         if found is not None:
-            found["writes"] = [w["value"]["writes"] for w in self.kv.search(("writes", thread, str(found["checkpoint"]["id"])), limit=1000)]
+            found["writes"] = [w["value"]["writes"] for w in self.kv.search(("writes", thread, str(found["checkpoint"]["id"])), limit=None)]
         return found
 
 
@@ -190,15 +221,14 @@ class Collections:
         await self.kv.aput(("collections",), name, {"name": name})
 
     async def get_collections(self) -> list[str]:
-        return sorted(r["key"] for r in await self.kv.asearch(("collections",), limit=10_000))
+        return sorted(r["key"] for r in await self.kv.asearch(("collections",), limit=None))
 
     async def does_collection_exist(self, name: str) -> bool:
         return await self.kv.aget(("collections",), name) is not None
 
     async def delete_collection(self, name: str) -> None:
         await self.kv.adelete(("collections",), name)
-        for r in await self.kv.asearch(("records", name), limit=1 << 30):
-            await self.kv.adelete(("records", name), r["key"])
+        await asyncio.to_thread(self.kv.delete_under, ("records", name))
 
     async def upsert(self, collection: str, key: str, record: dict) -> str:
         await self.kv.aput(("records", collection), key, record)
@@ -229,8 +259,6 @@ class Collections:
         return found[0] if found else None
 
     def _nearest(self, collection: str, embedding: list[float], limit: int, floor: float) -> list[tuple[dict, float]]:
-        from .operators import search
-
         items = self.kv._items().filter(under(F.col("namespace"), ("records", collection))).select("id")
         rows = self.db.episodic().join(items, "id", "left_semi")
         q = self.db.spark.createDataFrame([(0, embedding)], "query_id int, vec array<float>")
@@ -269,6 +297,8 @@ class ToolServer:
             "recall": lambda **a: {"memories": rows(db.recall(**a), "id", "store", "packed", "score")},
             "learn": lambda **a: {"id": db.learn(**a)},
             "query_knowledge": lambda **a: {"facts": rows(db.query_knowledge(**a), "id", "subject", "predicate", "object", "confidence")},
+            "learn_procedure": lambda **a: {"id": db.learn_procedure(**a)},
+            "forget": lambda **a: {"forgotten": db.forget(**a)},
             "get_context": lambda **a: {"context": rows(db.get_context(**a), "tier", "pos", "content")},
             "stats": lambda **a: db.stats(**a),
         }

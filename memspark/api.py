@@ -10,10 +10,10 @@ from datetime import datetime, timezone
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import text
+from .functions import score, text
 from .operators import facts, maintain, metadata_schema, procedures, recall
 from .schemas import EPISODIC, PROCEDURES, SCOPES, TRIPLES, Config
-from .sources.store import Store
+from .sources.store import CLAIM_BITS, Store
 
 Embed = Callable[[list[str]], list[list[float]]]
 
@@ -66,9 +66,9 @@ class MemoryDB:
         return self.learn_many([(subject, predicate, object, agent_id, confidence, valid_from, source_episodes)])[0]
 
     def learn_many(self, rows: list[tuple]) -> list[str]:
-        t, first = _now(), self.store.last_seq()
-        out = [(str(uuid.uuid4()), s, p, o, a or self.agent_id, float(c), f or t, None, e or [], "{}", first + i + 1, t) for i, (s, p, o, a, c, f, e) in enumerate(rows)]
-        self.store.append(self.spark.createDataFrame(out, TRIPLES), "triples", order=[F.col("write_seq")])
+        t, n = _now(), self.store.claim()
+        out = [(str(uuid.uuid4()), s, p, o, a or self.agent_id, float(c), f or t, None, e or [], "{}", (n << CLAIM_BITS) + i, t) for i, (s, p, o, a, c, f, e) in enumerate(rows)]
+        self.store.append(self.spark.createDataFrame(out, TRIPLES), "triples", order=[F.col("write_seq")], claim=n)
         return [r[0] for r in out]
 
     def learn_procedure(self, name: str, steps: list[dict], description: str = "", agent_id: str | None = None, applicable_contexts: list[str] | None = None, success_rate: float = 1.0, source_episodes: list[str] | None = None) -> str:
@@ -79,7 +79,7 @@ class MemoryDB:
         return row[0]
 
     def record_execution(self, id: str, success: bool) -> bool:  # noqa: A002
-        old = self.procedures().filter(F.col("id") == id)
+        old = self.store.get("procedures", id)
         if old.isEmpty():
             return False
         new = procedures.record_executions(old, self.spark.createDataFrame([(id, 1, success)], "id string, seq int, success boolean"))
@@ -89,7 +89,7 @@ class MemoryDB:
 
     def update_metadata(self, id: str, **updates) -> bool:  # noqa: A002
         """Columns of the row by their names; everything else goes into its metadata."""
-        old = self.episodic().filter(F.col("id") == id)
+        old = self.store.get("episodic", id)
         if old.isEmpty():
             return False
         kinds = {"importance": "double", "decay_score": "double", "access_count": "bigint", "accessed_at": "timestamp", "content": "string", "scope": "string"}
@@ -115,12 +115,22 @@ class MemoryDB:
         return self.store.table("episodic")
 
     def triples(self) -> DataFrame:
-        rows = self.store.table("triples")
-        return facts.supersede(rows) if self.config.contradiction_check else rows
+        return self.store.facts() if self.config.contradiction_check else self.store.table("triples")
 
     def procedures(self) -> DataFrame:
         return self.store.table("procedures")
 
+    def get(self, id: str, memory_type: str = "episodic") -> dict | None:  # noqa: A002
+        """One row by its id."""
+        row = self.get_many(self.spark.createDataFrame([(id,)], "id string"), memory_type).first()
+        return row.asDict(recursive=True) if row else None
+
+    def get_many(self, ids: DataFrame, memory_type: str = "episodic") -> DataFrame:
+        """The rows of a frame of ids; unknown ones are passed over."""
+        if memory_type == "semantic":
+            return self.triples().join(ids.select("id").distinct(), "id", "left_semi")  # a fact's interval depends on others
+        return self.store.get({"episodic": "episodic", "procedural": "procedures"}[memory_type], ids)
+
     # -- reading
     def queries(self, texts: list[str], agent_id: str | None = None, budget: int = 0, types: tuple[str, ...] = ("episodic", "semantic"), scope: str | None = None) -> DataFrame:
         rows = [(i, t, v, agent_id or self.agent_id, list(types), budget, scope) for i, (t, v) in enumerate(zip(texts, self.embed(texts)))]
@@ -129,7 +139,7 @@ class MemoryDB:
     def recall(self, query: str, agent_id: str | None = None, token_budget: int | None = None, memory_types: tuple[str, ...] = ("episodic", "semantic"), scope_filter: str | None = None, min_importance: float = 0.0, max_results: int = 20, routed: bool = False) -> DataFrame:
         q = self.queries([query], agent_id, token_budget or 0, memory_types, scope_filter)
         q = recall.route(q).withColumn("types", F.col("routed")).drop("routed") if routed else q
-        return recall.recall(q, self.episodic(), self.triples(), self.procedures(), max_results, self.config, min_importance, touch_at=_now()).orderBy("out_pos")
+        return recall.recall(q, self.episodic(), self.triples(), self.procedures(), max_results, self.config, min_importance, touch_at=_now(), ann_threshold=self.config.ann_threshold).orderBy("out_pos")
 
     def explain(self, query: str, memory_types: tuple[str, ...] = ("episodic", "semantic")) -> dict:
         r = recall.explain_route(self.queries([query], types=memory_types)).first()
@@ -160,13 +170,23 @@ class MemoryDB:
         return len(rows)
 
     def run_decay(self, agent_id: str | None = None, now: datetime | None = None) -> int:
-        kept, gone = maintain.decay_pass(self.episodic(), now or _now(), self.config.decay_half_life_hours, self.config.eviction_threshold, agent_id)
-        gone = gone.persist()
+        rows, at = self.episodic(), now or _now()
+        rule = (at, self.config.decay_half_life_hours, self.config.eviction_threshold, agent_id)
+        gone = maintain.decay_pass(rows, *rule)[1].persist()
         n = self.store.delete(gone, "episodic")
-        self.store.append(kept, "episodic")
+        self.store.append(maintain.decay_changes(rows, *rule), "episodic")
         gone.unpersist()
         return n
 
+    def refresh_decay(self, id: str, now: datetime | None = None) -> float | None:  # noqa: A002
+        """The decay score of one episodic row, worked out anew and kept; none for an unknown id."""
+        at = F.lit(now or _now()).cast("timestamp")
+        row = self.store.get("episodic", id).select(score.decay(score.hours_between(F.col("accessed_at"), at), self.config.decay_half_life_hours).alias("d")).first()
+        if row is None:
+            return None
+        self.update_metadata(id, decay_score=row["d"])
+        return row["d"]
+
     # -- schemas
     def register_schema(self, agent_id: str, name: str, fields: dict[str, metadata_schema.Field]) -> metadata_schema.Schema:
         s = self.registry.register(agent_id, name, fields)
@@ -188,7 +208,7 @@ class MemoryDB:
         return s
 
     def checkpoint(self) -> str:
-        return self.store.checkpoint()
+        return self.store.checkpoint(self.config.contradiction_check)
 
     def close(self) -> None:
         self.store.close()

@@ -24,6 +24,22 @@ def token_counter(load: Callable[[], Callable[[list[str]], list[int]]]):
     return count
 
 
+def token_cutter(load: Callable[[], tuple[Callable[[str], list[int]], Callable[[list[int]], str]]]):
+    """A column function of text and budget: empty for no budget, the text where it fits, else its first budget - 1 tokens and an ellipsis. load() gives encode and decode."""
+
+    @pandas_udf("string")
+    def cut(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        encode, decode = load()
+        for texts, budgets in batches:
+            out = []
+            for t, b in zip(texts.fillna(""), budgets):
+                ids = encode(t) if b > 0 else []
+                out.append("" if b <= 0 else t if len(ids) <= b else decode(ids[: int(b) - 1]) + "...")
+            yield pd.Series(out, dtype="object")
+
+    return cut
+
+
 def embedder(load: Callable[[], Callable[[list[str]], list[list[float]]]], batch: int = 32):
     """A column function that embeds texts with load()(texts), batch texts at a time. A null text has no vector."""
 

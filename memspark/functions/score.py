@@ -13,6 +13,7 @@ from .text import UNICODE, white_split
 HIGH_WORDS = "error fail crash critical urgent important always never prefer must require need expect password secret token key credential deadline due asap priority".split()
 LOW_WORDS = "maybe perhaps might could possibly test example sample dummy placeholder".split()
 HIGH, LOW = (rf"(?i)\b({'|'.join(w)})\b" for w in (HIGH_WORDS, LOW_WORDS))
+# What looks like a version, and like a measure.
 VERSION = r"v\d+\.\d+"
 METRIC = r"(?i)\d+\s*(ms|%|MB|GB|KB|req|ops|min\b|s\b)"
 # Technical vocabulary.

@@ -11,6 +11,7 @@ STOP_WORDS = (
     "more than into over then them most your come after before used look like issue issues past last next first since actually specific "
     "which upon about such being given while"
 ).split()
+# What is trimmed from words, and how many keywords of what length there are.
 KEYWORD_TRIM = "?.!,;:'\"()"
 LEAST_KEYWORD, MOST_KEYWORDS = 4, 8
 
@@ -23,6 +24,7 @@ INTENT_HINTS = {
     "semantic": "know|fact|true|is|are|what is|define|relationship|between|how does|who is",
     "procedural": "how to|steps|procedure|workflow|process|deploy|run|execute|do I|should I",
 }
+# Words of questions and of negation.
 QUESTION_WORDS = "what|how|why|when|where|who|which"
 NEGATIONS = "not|never|no|cannot|can't|don't|doesn't|isn't|aren't"
 #: Unicode-aware, and blind to case, in the manner of most regular expression engines but Java's.
@@ -73,7 +75,7 @@ def _let(value: Column, body) -> Column:
 def statement(sentence: Column) -> Column:
     """(subject, predicate, object) of the first verb group that matches; null where none does or a part has an odd length.
 
-    A sentence is searched for a verb between spaces first, which is cheap, and only then for the whole pattern.
+    A sentence is searched for any verb between spaces first, which is cheap, then for each group's, and only then for the whole pattern.
     """
     none = F.lit(None).cast("struct<subject:string,predicate:string,object:string>")
 
@@ -83,7 +85,8 @@ def statement(sentence: Column) -> Column:
         found = _let(F.regexp_extract(sentence, pattern, 1), lambda s: F.when(s != "", F.struct(trimmed(s).alias("subject"), F.lit(name).alias("predicate"), trimmed(end).alias("object"))))
         return F.when(F.regexp_like(sentence, F.lit(UNICODE + rf"\s({verbs})\s")), found).otherwise(none)
 
-    first = F.coalesce(*(whole(v, n) for v, n in STATEMENT_VERBS))
+    every = "|".join(v for v, _ in STATEMENT_VERBS)
+    first = F.when(F.regexp_like(sentence, F.lit(UNICODE + rf"\s({every})\s")), F.coalesce(*(whole(v, n) for v, n in STATEMENT_VERBS)))
     return _let(first, lambda x: F.when(F.length(x.subject).between(2, 50) & F.length(x.object).between(2, 80), x))
 
 

@@ -36,9 +36,14 @@ def supersede(writes: DataFrame) -> DataFrame:
 
 
 def merge_flag(metadata: Column, name: str) -> Column:
-    """JSON metadata with a key set to true."""
-    rest = F.regexp_replace(F.trim(F.coalesce(metadata, F.lit("{}"))), r"^\{\s*", "")
-    return F.when(rest == "}", F.lit(f'{{"{name}":true}}')).otherwise(F.concat(F.lit(f'{{"{name}":true,'), rest))
+    """JSON metadata (an object, or null) with a key set to true: in its place where it has it, in front where not."""
+    text_ = F.trim(F.coalesce(metadata, F.lit("{}")))
+    rest = F.regexp_replace(text_, r"^\{\s*", "")
+    added = F.when(rest == "}", F.lit(f'{{"{name}":true}}')).otherwise(F.concat(F.lit(f'{{"{name}":true,'), rest))
+    keys = F.json_object_keys(text_)
+    kept = F.map_filter(F.from_json(text_, "map<string,string>"), lambda k, _: k != name)
+    flat = F.to_json(F.map_concat(kept, F.create_map(F.lit(name), F.lit("true"))))
+    return F.when(F.array_contains(keys, name), F.when(F.get_json_object(text_, f"$.{name}") == "true", text_).otherwise(flat)).otherwise(added)
 
 
 def subject_scan(triples: DataFrame, subject: str, open_only: bool = True, agent: str | None = None) -> DataFrame:

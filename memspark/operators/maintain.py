@@ -19,6 +19,14 @@ def decay_pass(episodic: DataFrame, now, half_life: float = 168.0, threshold: fl
     return scored.filter(~F.coalesce(gone, F.lit(False))), scored.filter(gone).select("id")
 
 
+def decay_changes(episodic: DataFrame, now, half_life: float = 168.0, threshold: float = 0.05, agent: str | None = None) -> DataFrame:
+    """Only the surviving rows whose decay score changes, and only the agent's, with the fresh score."""
+    mine = episodic if agent is None else episodic.filter(F.col("agent_id") == agent)
+    fresh = score.decay(score.hours_between(F.col("accessed_at"), F.lit(now).cast("timestamp")), half_life)
+    rows = mine.withColumn("_fresh", fresh).filter((F.col("_fresh") >= threshold) & ~F.col("_fresh").eqNullSafe(F.col("decay_score")))
+    return rows.withColumn("decay_score", F.col("_fresh")).drop("_fresh")
+
+
 def due_for_consolidation(episodic: DataFrame, least: int = 10) -> DataFrame:
     return episodic.groupBy("agent_id").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
 

@@ -30,8 +30,8 @@ def explain_route(queries: DataFrame, query_col: str = "query", types_col: str =
     return routed.select("query_id", F.col("routed").alias("stores"), F.when(F.size(parts) == 0, F.lit("no strong signal: all stores asked for")).otherwise(F.array_join(parts, "; ")).alias("reasoning"))
 
 
-def episodic_candidates(episodic: DataFrame, queries: DataFrame, k: int, alpha: float, min_importance: float = 0.0, start=None, end=None) -> DataFrame:
-    """Nearest k a query may see, scored by effective importance and rank. Queries: query_id, vec, agent, scope."""
+def episodic_candidates(episodic: DataFrame, queries: DataFrame, k: int, alpha: float, min_importance: float = 0.0, start=None, end=None, ann_threshold: int | None = None) -> DataFrame:
+    """Nearest k a query may see, scored by effective importance and rank. Queries: query_id, vec, agent, scope. From ann_threshold candidates on they are found approximately."""
     found = episodic
     if min_importance > 0:
         found = found.filter(F.col("importance") >= min_importance)
@@ -41,7 +41,7 @@ def episodic_candidates(episodic: DataFrame, queries: DataFrame, k: int, alpha:
         found = found.filter(F.col("created_at") <= F.lit(end))
     own = found.select("id", "content", "agent_id", "scope", "importance", "decay_score", "embedding")
     asked = queries.select("query_id", "vec", F.col("agent").alias("_agent"), F.col("asked_scope") if "asked_scope" in queries.columns else F.lit(None).cast("string").alias("asked_scope"))
-    hits = search.ranked_by_importance(search.nearest(own, asked, k, search.visible(F.col("_agent"), F.col("asked_scope"))))
+    hits = search.ranked_by_importance(search.find(own, asked, k, search.visible(F.col("_agent"), F.col("asked_scope")), ann_threshold))
     n = F.count("*").over(W.partitionBy("query_id"))
     blended = score.blended(F.col("eff"), score.rank_relevance(F.col("pos") - 1, n), alpha)
     return hits.withColumn("score", blended).select("query_id", F.lit("episodic").alias("store"), F.lit(0).alias("store_order"), "pos", "id", "content", "score")
@@ -62,18 +62,19 @@ def procedural_candidates(procs: DataFrame, queries: DataFrame, most: int) -> Da
     return best.join(shown, "id").select("query_id", F.lit("procedural").alias("store"), F.lit(2).alias("store_order"), "pos", "id", "content", F.col("success_rate").alias("score"))
 
 
-def recall(queries: DataFrame, episodic: DataFrame | None = None, triples: DataFrame | None = None, procs: DataFrame | None = None, k: int = 20, config: Config | None = None, min_importance: float = 0.0, start=None, end=None, touch_at=None) -> DataFrame:
+def recall(queries: DataFrame, episodic: DataFrame | None = None, triples: DataFrame | None = None, procs: DataFrame | None = None, k: int = 20, config: Config | None = None, min_importance: float = 0.0, start=None, end=None, touch_at=None, ann_threshold: int | None = None, **counting) -> DataFrame:
     """Candidates of the stores a query asks for, merged by score and packed into its budget.
 
     Queries: query_id, query, vec, agent, types (array), budget (0 or null: the default). Floor, time range
-    and k bind episodic rows only. touch_at adds the access time that returning a row would record.
+    and k bind episodic rows only. touch_at adds the access time that returning a row would record. counting:
+    count and cut, as budget.fill has them.
     """
     c = config or Config()
     queries = queries.withColumn("budget", F.when(F.coalesce("budget", F.lit(0)) == 0, F.lit(c.default_token_budget)).otherwise(F.col("budget")))
     asks = lambda s: queries.filter(F.array_contains("types", s))
     parts = []
     if episodic is not None:
-        parts.append(episodic_candidates(episodic, asks("episodic"), k, c.blend_alpha, min_importance, start, end))
+        parts.append(episodic_candidates(episodic, asks("episodic"), k, c.blend_alpha, min_importance, start, end, ann_threshold))
     if triples is not None:
         parts.append(semantic_candidates(triples, asks("semantic")))
     if procs is not None:
@@ -82,7 +83,7 @@ def recall(queries: DataFrame, episodic: DataFrame | None = None, triples: DataF
     for p in parts[1:]:
         union = union.unionByName(p.select(*CANDIDATE))
     order = [F.desc("score"), "store_order", "pos", "id"]
-    packed = budget.fill(union.join(queries.select("query_id", "budget"), "query_id"), F.col("budget"), order)
+    packed = budget.fill(union.join(queries.select("query_id", "budget"), "query_id"), F.col("budget"), order, **counting)
     out = packed.withColumn("out_pos", F.row_number().over(W.partitionBy("query_id").orderBy(*order)))
     return out.withColumn("touched_at", F.lit(touch_at)) if touch_at is not None else out
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.feature import BucketedRandomProjectionLSH
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
@@ -44,25 +46,28 @@ def candidate_filter(agent: Column | str, scope: Column | str | None = None, min
     return keep
 
 
-def query_batch(queries: DataFrame, dim_bytes: int = 8) -> DataFrame:
-    """The queries, to be broadcast where their checked size allows; larger batches go in blocks of the caller's."""
+def query_blocks(queries: DataFrame, dim_bytes: int = 8, block_bytes: int = BROADCAST_BYTES) -> list[DataFrame]:
+    """The stated queries in blocks whose checked size allows to broadcast them, dealt by hash."""
     size = queries.agg(F.sum(F.size("vec") * dim_bytes + 64)).first()[0] or 0
-    return F.broadcast(queries) if size <= BROADCAST_BYTES else queries
+    n = max(1, math.ceil(size / block_bytes))
+    return [F.broadcast(queries if n == 1 else queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(n)) == i)) for i in range(n)]
 
 
 def nearest(candidates: DataFrame, queries: DataFrame, k: int | Column = 20, extra: Column | None = None) -> DataFrame:
     """Exact: the k candidates nearest to each query (query_id, vec), by cosine distance, then id.
 
     extra: a condition on query and candidate columns (visibility per query). Rows without a vector, or of
-    another dimension than the query, fall away. The stated queries meet all rows; ranking keeps k per
-    query in each task before the shuffle.
+    another dimension than the query, fall away. The stated queries meet all rows, in broadcast blocks;
+    ranking keeps k per query in each task before the shuffle.
     """
     ok = vector.dimension_ok(F.col("embedding"), F.size("vec"))
     # lengths once a row, not once a pair
     rows = candidates.withColumn("_n", vector.norm(F.col("embedding")))
-    asked = query_batch(queries.withColumn("_m", vector.norm(F.col("vec"))))
-    pairs = rows.join(asked, ok if extra is None else ok & extra)
-    pairs = pairs.withColumn("dist", vector.distance_of(vector.dot(F.col("vec"), F.col("embedding")), F.col("_m") * F.col("_n"))).drop("embedding", "vec", "_n", "_m")
+    pairs = None
+    for asked in query_blocks(queries.withColumn("_m", vector.norm(F.col("vec")))):
+        met = rows.join(asked, ok if extra is None else ok & extra)
+        met = met.withColumn("dist", vector.distance_of(vector.dot(F.col("vec"), F.col("embedding")), F.col("_m") * F.col("_n"))).drop("embedding", "vec", "_n", "_m")
+        pairs = met if pairs is None else pairs.unionByName(met)
     order = W.partitionBy("query_id").orderBy("dist", "id")
     return pairs.withColumn("near_rank", F.row_number().over(order)).filter(F.col("near_rank") <= k)
 
@@ -74,10 +79,11 @@ def ranked_by_importance(hits: DataFrame, rank_by: str = "importance") -> DataFr
     return hits.withColumn("eff", eff).withColumn("pos", F.row_number().over(W.partitionBy("query_id").orderBy(*order)))
 
 
-def nearest_approximate(candidates: DataFrame, queries: DataFrame, k: int = 20, bucket_length: float = 0.8, tables: int = 8, over_fetch: int = 10, least: int = 50) -> DataFrame:
+def nearest_approximate(candidates: DataFrame, queries: DataFrame, k: int = 20, bucket_length: float = 0.8, tables: int = 8, over_fetch: int = 10, least: int = 50, extra: Column | None = None) -> DataFrame:
     """By locality-sensitive hashing of unit vectors, then exact distances of what was found.
 
-    Of each query max(over_fetch * k, least) neighbours in the hash tables' order are ranked exactly.
+    Of each query max(over_fetch * k, least) neighbours in the hash tables' order are ranked exactly, those
+    that fail extra, a condition on query and candidate columns, left out.
     """
     as_unit = lambda df, c: df.withColumn("u", array_to_vector(vector.unit(F.col(c))))
     base = as_unit(candidates.filter(F.col("embedding").isNotNull()), "embedding")
@@ -85,7 +91,8 @@ def nearest_approximate(candidates: DataFrame, queries: DataFrame, k: int = 20,
     near = model.approxSimilarityJoin(as_unit(queries, "vec"), base, 2.0, "l2")
     flat = near.select(F.col("datasetA.query_id").alias("query_id"), F.col("datasetB.id").alias("id"), (F.col("l2") * F.col("l2") / 2).alias("approx"))
     first = flat.withColumn("r", F.row_number().over(W.partitionBy("query_id").orderBy("approx", "id"))).filter(F.col("r") <= max(over_fetch * k, least)).drop("r", "approx")
-    pairs = candidates.join(first, "id").join(query_batch(queries), "query_id")
+    pairs = candidates.join(first, "id").join(queries, "query_id")
+    pairs = pairs if extra is None else pairs.filter(extra)
     pairs = pairs.withColumn("dist", vector.cosine_distance(F.col("vec"), F.col("embedding"))).drop("embedding", "vec")
     return pairs.withColumn("near_rank", F.row_number().over(W.partitionBy("query_id").orderBy("dist", "id"))).filter(F.col("near_rank") <= k)
 
@@ -94,10 +101,14 @@ def choose_strategy(n: int, threshold: int = 5000) -> str:
     return "exact" if n < threshold else "approximate"
 
 
+def find(candidates: DataFrame, queries: DataFrame, k: int = 20, extra: Column | None = None, threshold: int | None = 5000, strategy: str | None = None) -> DataFrame:
+    """The k nearest, exactly below threshold candidates and approximately from there on; without one always exactly. strategy overrides the choice."""
+    how = strategy or (choose_strategy(candidates.count(), threshold) if threshold is not None else "exact")
+    return nearest(candidates, queries, k, extra) if how == "exact" else nearest_approximate(candidates, queries, k, extra=extra)
+
+
 def search(episodic: DataFrame, queries: DataFrame, k: int = 20, threshold: int = 5000, strategy: str | None = None, **filters) -> DataFrame:
-    """Filter, choose exact or approximate by the number of candidates, rank. strategy overrides the choice."""
+    """Filter, find, rank by importance."""
     agent = filters.pop("agent", None)
     found = episodic.filter(candidate_filter(agent, **filters)) if agent is not None else episodic
-    how = strategy or choose_strategy(found.count(), threshold)
-    hits = nearest(found, queries, k) if how == "exact" else nearest_approximate(found, queries, k)
-    return ranked_by_importance(hits)
+    return ranked_by_importance(find(found, queries, k, None, threshold, strategy))

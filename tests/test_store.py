@@ -85,8 +85,11 @@ def test_adapters(db):
     chat.remember("the build is red")
     assert set(chat.get_all()) == {"hello there", "the build is red"} and "red" in chat.recall("build red")
     assert "build" in chat.context("build") and chat.update_context("build")
-    chat.set([{"role": "user", "content": "only this"}])
-    assert chat.get_all() == ["only this"] and chat.reset() == 1
+    chat.set([{"role": "user", "content": "added to the rest"}])
+    assert set(chat.get_all()) == {"hello there", "the build is red", "added to the rest"} and chat.reset() == 3
+    own = adapters.ChatMemory.from_defaults(db, [{"role": "user", "content": "only this"}], agent_id="other")
+    own.save("a saved thing", {"importance": 0.9, "k": 1})
+    assert own.search("saved thing", 1)[0]["content"] == "a saved thing" and own.search("saved thing", 5, 2.0) == [] and own.reset() == 2
     kv = adapters.KeyValueStore(db)
     kv.put(("a", "b"), "k", {"v": 1})
     kv.put(("a", "c"), "k", {"v": 2})
@@ -98,6 +101,9 @@ def test_adapters(db):
     cp.put("t", {"id": "1", "x": 1})
     cp.put("t", {"id": "2", "x": 2})
     cp.put_writes("t", "2", "task", [1, 2])
+    cp.put("t", {"id": "3", "x": 3}, {"kind": "last"})
+    assert [c["checkpoint"]["id"] for c in cp.list("t")] == ["3", "2", "1"] and [c["checkpoint"]["id"] for c in cp.list("t", before="3")] == ["2", "1"]
+    assert [c["checkpoint"]["id"] for c in cp.list("t", filter={"kind": "last"})] == ["3"] and cp.kv.db.forget(cp.kv._id(("checkpoint", "t"), "3"))
     assert cp.get_tuple("t", "1")["checkpoint"]["x"] == 1 and cp.get_tuple("t")["writes"] == [[1, 2]] and cp.get_tuple("u") is None
     ix = adapters.VectorIndex(db)
     (i,) = ix.insert(["a vector text"])
@@ -117,6 +123,8 @@ def test_collections(db):
         assert found[0] == {"t": "beta"} and found[1] == pytest.approx(1)
         await c.remove("x", "1")
         assert await c.get("x", "1") is None
+        await c.delete_collection("x")
+        assert await c.get_collections() == [] and await c.get("x", "2") is None
 
     asyncio.run(go())
 
@@ -147,3 +155,125 @@ def test_streams(spark, db, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert db.stats()["episodic"] == 1
+
+
+def test_writers_never_share_a_number(db):
+    from concurrent.futures import ThreadPoolExecutor
+
+    with ThreadPoolExecutor(4) as pool:
+        ids = list(pool.map(lambda i: db.learn("ann", "works_at", f"place {i}"), range(8)))
+    log = db.store.log()
+    assert len(set(ids)) == log.select("seq").distinct().count() == log.count() == 8
+    assert db.triples().filter("valid_until IS NULL").count() == 1
+
+
+def test_a_half_written_append_is_not_read(db):
+    db.remember("whole")
+    n = db.store.claim()
+    rows = db.episodic().withColumn("id", F.lit("half"))
+    seq = F.lit(n << store_module.CLAIM_BITS).alias("seq")
+    rows.select(seq, F.current_timestamp().alias("ts"), F.lit("upsert").alias("op"), F.lit("episodic").alias("store"), "id", F.to_json(F.struct(*rows.columns)).alias("payload")).write.mode("append").parquet(f"{db.store.path}/log")
+    later = db.remember("later")
+    assert {r.content for r in db.episodic().collect()} == {"whole", "later"} and db.get("half") is None
+    db.checkpoint()
+    assert db.get(later)["content"] == "later" and db.episodic().count() == 2
+    db.store.abandon(n)
+    assert db.episodic().count() == 3
+    db.checkpoint()
+    after = db.remember("after")
+    assert db.episodic().count() == 4 and db.get(after)["content"] == "after"
+    with pytest.raises(Exception, match="raise|boom"):
+        db.store.append(db.spark.range(1).select(F.lit("x").alias("id"), F.raise_error(F.lit("boom")).cast("string").alias("c")), "episodic")
+    assert db.episodic().count() == 4
+
+
+def test_intervals_are_kept_at_a_checkpoint(db):
+    a, b = db.learn("ann", "works_at", "Acme"), db.learn("ann", "works_at", "Globex")
+    before = {r.id: r.valid_until for r in db.triples().collect()}
+    db.checkpoint()
+    assert {r.id: r.valid_until for r in db.triples().collect()} == before and before[a] is not None and before[b] is None
+    assert json.loads(db.get(a, "semantic")["metadata"]) == {"superseded": True}
+    c = db.learn("ann", "works_at", "Initech")
+    db.checkpoint()
+    assert [r.id for r in db.triples().filter("valid_until IS NULL").collect()] == [c] and db.forget(c, "semantic")
+    assert db.triples().filter("valid_until IS NULL").isEmpty()
+
+
+def test_decay_writes_what_changes(db):
+    mine, other = db.remember("mine"), db.remember("not mine", agent_id="other")
+    n = db.store.log().count()
+    assert db.run_decay("coder", dt.datetime.now() + dt.timedelta(days=1)) == 0
+    assert db.store.log().count() == n + 1
+    assert db.get(mine)["decay_score"] < 1 and db.get(other)["decay_score"] == 1
+    fresh = db.refresh_decay(other, dt.datetime.now() + dt.timedelta(days=7))
+    assert fresh == pytest.approx(0.5, abs=0.05) and db.get(other)["decay_score"] == fresh and db.refresh_decay("nope") is None
+    assert {r.id for r in db.get_many(db.spark.createDataFrame([(mine,), (other,), ("x",)], "id string")).collect()} == {mine, other}
+
+
+def test_collections_and_writes_beyond_a_thousand(db):
+    kv = adapters.KeyValueStore(db)
+    row = db.spark.range(1).select(F.lit("x").alias("id"))
+    many = 1_200
+    meta = lambda ns, key: F.to_json(F.struct(ns.alias("namespace"), key.alias("key")))
+    own = F.concat(F.lit("k"), F.col("i"))
+    base = db.spark.range(many).select(F.col("id").alias("i")).select(F.concat(F.lit("w"), F.col("i")).alias("id"), F.lit(json.dumps({"writes": [1]})).alias("content"), F.lit("episodic").alias("memory_type"), F.lit("coder").alias("agent_id"), F.lit(1.0).alias("importance"), F.lit(1.0).alias("decay_score"), F.current_timestamp().alias("created_at"), meta(F.array(F.lit("writes"), F.lit("t"), F.lit("1")), own).alias("metadata"))
+    db.store.append(base, "episodic")
+    cp = adapters.Checkpointer(db)
+    cp.put("t", {"id": "1"})
+    assert len(cp.get_tuple("t")["writes"]) == many and row.count() == 1
+    assert kv.delete_under(("writes",)) == many
+
+
+def test_tool_server(db):
+    import io
+
+    from memspark import server
+
+    asked = [{"id": 1, "method": "initialize"}, {"method": "notifications/initialized"}, {"id": 2, "method": "tools/list"}, {"id": 3, "method": "tools/call", "params": {"name": "remember", "arguments": {"content": "the sky is red"}}}]
+    asked += [{"id": 4, "method": "tools/call", "params": {"name": "recall", "arguments": {"query": "red sky"}}}, {"id": 5, "method": "tools/call", "params": {"name": "recall", "arguments": {}}}, {"id": 6, "method": "nothing"}]
+    out = io.StringIO()
+    server.serve(adapters.ToolServer(db), [*map(json.dumps, asked), "", "{"], out)
+    got = [json.loads(x) for x in out.getvalue().splitlines()]
+    assert [g["id"] for g in got] == [1, 2, 3, 4, 5, 6, None]
+    names = {t["name"] for t in got[1]["result"]["tools"]}
+    assert names == set(adapters.ToolServer(db).tools) and {"remember", "recall", "learn", "learn_procedure", "get_context", "forget"} <= names
+    assert "the sky is red" in got[3]["result"]["content"][0]["text"] and got[4]["result"]["isError"] and got[5]["error"]["code"] == -32601
+
+
+def test_default_model_and_units(spark):
+    from memspark.operators import importance
+
+    m = importance.default_model(spark)
+    assert m is importance.default_model(spark)
+    now = dt.datetime(2024, 1, 3)
+    rows = [("critical error: the db password leaked in v2.1", "episodic", 0, now), ("maybe a test sample", "episodic", 0, now - dt.timedelta(days=3))]
+    df = spark.createDataFrame(rows, "content string, memory_type string, access_count bigint, created_at timestamp")
+    for model in (None, m):
+        a, b = importance.score_units(df, F.lit(now).cast("timestamp"), model).orderBy("created_at", ascending=False).collect()
+        assert 0 <= b.score < a.score <= 1 and "recency_hours" not in a.__fields__
+
+
+def test_a_tokenizer_fills_budgets(spark):
+    from memspark.functions import plug
+    from memspark.operators import budget
+
+    count = plug.token_counter(lambda: lambda texts: [len(t.split()) for t in texts])
+    cut = plug.token_cutter(lambda: (lambda t: t.split(), " ".join))
+    df = spark.createDataFrame([(0, 1, "a b c"), (0, 2, "d e f g"), (0, 3, "h")], "query_id int, o int, content string")
+    got = budget.fill(df, 5, ["o"], count=count, cut=cut).orderBy("o").collect()
+    assert [(r.packed, r.before) for r in got] == [("a b c", 0), ("d...", 3)]
+    taken = budget.fill_skipping(df, 4, ["o"], count=count).first()
+    assert taken.taken == ["a b c", "h"] and taken.used == 4
+
+
+def test_approximate_search_from_a_threshold(spark):
+    from memspark.operators import search
+
+    rows = [(i, [1.0, i / 50, 0.5]) for i in range(50)]
+    df = spark.createDataFrame(rows, "id bigint, embedding array<float>").withColumn("scope", F.lit("org")).withColumn("agent_id", F.lit("a"))
+    q = spark.createDataFrame([(0, [1.0, 0.2, 0.5]), (1, [1.0, 0.9, 0.5])], "query_id int, vec array<float>")
+    exact = {(r.query_id, r.id) for r in search.find(df, q, 3, F.col("id") % 2 == 0, 51).collect()}
+    near = {(r.query_id, r.id) for r in search.find(df, q, 3, F.col("id") % 2 == 0, 50).collect()}
+    assert len(exact) == 6 and len(exact & near) >= 5
+    blocks = search.query_blocks(q, block_bytes=100)
+    assert len(blocks) > 1 and sum(b.count() for b in blocks) == 2
