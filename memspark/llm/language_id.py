@@ -33,7 +33,7 @@ SHORT_WORD, SLICE = 24, 4096
 START = "▁"
 LETTERS = regex.compile(r"\p{L}+")
 #: Chunks, and words, a worker remembers before it starts anew, and the letters in all of them.
-CACHE, CACHE_LETTERS = 400_000, 16_000_000
+CACHE, CACHE_LETTERS = 200_000, 8_000_000
 
 
 def vocabulary_pieces(path: str) -> list[str]:
@@ -309,10 +309,10 @@ class Scorer:
         rows[:, -1] = size
         self.chunks.update((c, start + i) for i, c in enumerate(new))
 
-    def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
+    def predict(self, texts: pa.Array) -> tuple[list[str], list[float]]:
         names, scores = [], []
         for a in range(0, len(texts), 256):
-            part = [(t or "").split() for t in texts[a : a + 256]]
+            part = [(t or "").split() for t in texts.slice(a, 256).to_pylist()]
             self.learn({c for cs in part for c in cs})
             get = self.chunks.__getitem__
             for cs in part:
@@ -331,18 +331,22 @@ def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     shared = df.sparkSession.sparkContext.broadcast(model)  # its size is that of the vocabulary
     key = uuid.uuid4().hex
 
+    # a text that is kept is sent once
+    sent = [c for c in keep if c != text_col]
+    place = {c: 2 + i for i, c in enumerate(sent)} | {text_col: 1}
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if key not in _scorer:
             _scorer.clear()
             _scorer[key] = Scorer(shared.value)
         for b in batches:
-            names, scores = _scorer[key].predict(b.column(1).to_pylist())
-            own = [b.column(0), *(b.column(2 + i) for i in range(len(keep)))]
+            names, scores = _scorer[key].predict(b.column(1))
+            own = [b.column(0), *(b.column(place[c]) for c in keep)]
             yield pa.RecordBatch.from_arrays([*own, pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[id_col, *keep, "lang_pred", "score"])
 
     kinds = dict(df.dtypes)
     fields = ", ".join(f"`{c}` {kinds[c]}" for c in (id_col, *keep))
-    return picked(df, **{id_col: id_col, "text_": text_col, **{c: c for c in keep}}).mapInArrow(run, f"{fields}, lang_pred string, score double")
+    return picked(df, **{id_col: id_col, "text_": text_col, **{c: c for c in sent}}).mapInArrow(run, f"{fields}, lang_pred string, score double")
 
 
 def train(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 5, held: int = 0, max_docs_per_lang: int = 400) -> Model:
