@@ -2,16 +2,12 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .. import sizes
 from ..functions import text
 
-#: Bytes of query rows that are broadcast at once.
-BROADCAST_BYTES = 32 << 20
-
 
 def keyword_score(context: Column, expected: Column) -> Column:
     """Share of the expected keywords that the context holds, in either case; 0 without any."""
@@ -24,7 +20,7 @@ def _share(low: Column, expected: Column) -> Column:
     return F.when(F.size(expected) > 0, hits / F.size(expected)).otherwise(F.lit(0.0))
 
 
-def keyword_scores(docs: DataFrame, items: DataFrame, block_bytes: int = BROADCAST_BYTES) -> DataFrame:
+def keyword_scores(docs: DataFrame, items: DataFrame, block_bytes: int = sizes.BROADCAST_BYTES) -> DataFrame:
     """(item_id, doc_id, score) of every item (item_id, expected) and every document (doc_id, text).
 
     The items are the stated query set: they go to the documents in broadcast blocks of block_bytes or
@@ -32,15 +28,7 @@ def keyword_scores(docs: DataFrame, items: DataFrame, block_bytes: int = BROADCA
     """
     low = docs.select("doc_id", F.lower("text").alias("_low"))
     items = items.select("item_id", F.transform("expected", F.lower).alias("_expected"))
-    size = F.lit(16) + F.coalesce(F.octet_length(F.array_join("_expected", "")), F.lit(0)) + F.coalesce(F.size("_expected"), F.lit(0)) * 16
-    total = items.agg(F.sum(size).alias("n")).first()["n"] or 0
-    n = max(1, math.ceil(total / block_bytes))
-    out = None
-    for i in range(n):
-        block = items if n == 1 else items.filter(F.pmod(F.xxhash64("item_id", "_expected"), F.lit(n)) == i)
-        pairs = low.crossJoin(F.broadcast(block)).select("item_id", "doc_id", _share(F.col("_low"), F.col("_expected")).alias("score"))
-        out = pairs if out is None else out.unionByName(pairs)
-    return out
+    return sizes.join_blocks(low, items, None, "item_id", block_bytes).select("item_id", "doc_id", _share(F.col("_low"), F.col("_expected")).alias("score"))
 
 
 def cleaned(answer: Column) -> Column:

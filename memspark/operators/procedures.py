@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .. import sizes
 from ..functions import score, text
 
 
@@ -38,8 +39,7 @@ def ranked(procedures: DataFrame, queries: DataFrame, min_success: float = 0.0,
     hit = text.like_everywhere(F.col("kw"), F.col("name"), F.col("description"), F.to_json("applicable_contexts")) & (F.col("success_rate") >= min_success)
     if agent_col:
         hit = hit & (F.col("_agent").isNull() | (F.col("agent_id") == F.col("_agent")))
-    size = terms.count()
-    pairs = procedures.join(F.broadcast(terms) if size <= 100_000 else terms, hit)
+    pairs = sizes.join_blocks(procedures, terms, hit)
     found = pairs.groupBy("query_id", "id").agg(F.count("*").alias("matches"), F.min("kw_pos").alias("first_hit"), F.first("success_rate").alias("success_rate"), F.first("execution_count").alias("execution_count"))
     order = W.partitionBy("query_id").orderBy(F.desc("matches"), F.desc("success_rate"), "first_hit", F.desc("execution_count"), "id")
     return found.withColumn("pos", F.row_number().over(order))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .. import sizes
 from ..functions import score, text
 from ..schemas import Config
 from . import budget, facts, procedures, search
@@ -52,7 +53,7 @@ def semantic_candidates(triples: DataFrame, queries: DataFrame) -> DataFrame:
     e = facts.edges(triples).select("id", "subject", "predicate", "object", "confidence")
     q = queries.select("query_id", F.col("query").alias("_q"))
     hit = text.like_everywhere(F.col("_q"), F.col("subject"), F.col("predicate"), F.col("object"))
-    found = e.join(F.broadcast(q) if q.count() <= 100_000 else q, hit).withColumn("pos", F.row_number().over(W.partitionBy("query_id").orderBy("id")))
+    found = sizes.join_blocks(e, q, hit).withColumn("pos", F.row_number().over(W.partitionBy("query_id").orderBy("id")))
     return found.select("query_id", F.lit("semantic").alias("store"), F.lit(1).alias("store_order"), "pos", "id", text.fact_text(F.col("subject"), F.col("predicate"), F.col("object")).alias("content"), F.col("confidence").alias("score"))
 
 
@@ -79,6 +80,9 @@ def recall(queries: DataFrame, episodic: DataFrame | None = None, triples: DataF
         parts.append(semantic_candidates(triples, asks("semantic")))
     if procs is not None:
         parts.append(procedural_candidates(procs, asks("procedural"), c.max_procedures_per_query))
+    if len({dict(p.dtypes)["id"] for p in parts}) > 1:
+        # stores may name their rows by different types
+        parts = [p.withColumn("id", F.col("id").cast("string")) for p in parts]
     union = parts[0].select(*CANDIDATE)
     for p in parts[1:]:
         union = union.unionByName(p.select(*CANDIDATE))
@@ -98,7 +102,7 @@ def pack_facts(triples: DataFrame, queries: DataFrame, budget_of: str = "l1_budg
     e = facts.edges(triples).join(F.broadcast(first), F.col("subject") == F.col("entity"), "left_semi")
     rows = e.select("id", "subject", "agent_id", "confidence", text.fact_text(F.col("subject"), F.col("predicate"), F.col("object")).alias("content"))
     q = queries.select("query_id", "agent", budget_of)
-    pairs = rows.join(F.broadcast(q) if q.count() <= 100_000 else q)
+    pairs = sizes.join_blocks(rows, q, None)
     pairs = pairs.withColumn("_own", (F.col("agent_id") == F.col("agent")).cast("int")).withColumn("_any", F.max("_own").over(W.partitionBy("query_id", "subject"))).filter("_own = _any")
     return budget.fill_skipping(pairs, F.col(budget_of), ["subject", -F.col("confidence"), "id"])
 

@@ -2,19 +2,15 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.ml.feature import BucketedRandomProjectionLSH
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .. import sizes
 from ..functions import score, vector
 
-#: Bytes of a query batch up to which it is broadcast against the candidates.
-BROADCAST_BYTES = 16 << 20
-
 
 def visible(agent: Column | str, scope: Column | str | None = None, team: str | None = None, strict_scope: bool = False) -> Column:
     """Who sees a row. By default own rows, and those of scope team and org.
@@ -46,13 +42,6 @@ def candidate_filter(agent: Column | str, scope: Column | str | None = None, min
     return keep
 
 
-def query_blocks(queries: DataFrame, dim_bytes: int = 8, block_bytes: int = BROADCAST_BYTES) -> list[DataFrame]:
-    """The stated queries in blocks whose checked size allows to broadcast them, dealt by hash."""
-    size = queries.agg(F.sum(F.size("vec") * dim_bytes + 64)).first()[0] or 0
-    n = max(1, math.ceil(size / block_bytes))
-    return [F.broadcast(queries if n == 1 else queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(n)) == i)) for i in range(n)]
-
-
 def nearest(candidates: DataFrame, queries: DataFrame, k: int | Column = 20, extra: Column | None = None) -> DataFrame:
     """Exact: the k candidates nearest to each query (query_id, vec), by cosine distance, then id.
 
@@ -64,7 +53,7 @@ def nearest(candidates: DataFrame, queries: DataFrame, k: int | Column = 20, ext
     # lengths once a row, not once a pair
     rows = candidates.withColumn("_n", vector.norm(F.col("embedding")))
     pairs = None
-    for asked in query_blocks(queries.withColumn("_m", vector.norm(F.col("vec")))):
+    for asked in sizes.blocks(queries.withColumn("_m", vector.norm(F.col("vec"))), "query_id"):
         met = rows.join(asked, ok if extra is None else ok & extra)
         met = met.withColumn("dist", vector.distance_of(vector.dot(F.col("vec"), F.col("embedding")), F.col("_m") * F.col("_n"))).drop("embedding", "vec", "_n", "_m")
         pairs = met if pairs is None else pairs.unionByName(met)

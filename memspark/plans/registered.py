@@ -324,9 +324,10 @@ def store_stats(spark: SparkSession, d: str) -> DataFrame:
     return maintain.stats(V.episodic(spark, d), facts.supersede(V.writes(spark, d)), V.procs(spark, d))
 
 
-@query("SELECT source AS agent_id, count(*) AS n FROM documents GROUP BY source")
+@query(f"WITH {V.EPISODIC}, {V.FACTS}, {V.PROCS}, u AS (SELECT 'episodic' AS store FROM episodic WHERE agent_id = 'src1' UNION ALL SELECT 'semantic' FROM facts WHERE valid_until IS NULL AND agent_id = 'src1' UNION ALL SELECT 'procedural' FROM procs WHERE agent_id = 'src1') SELECT coalesce(store, 'total') AS store, count(*) AS n FROM u GROUP BY ROLLUP (store)")
 def episodic_counts(spark: SparkSession, d: str) -> DataFrame:
-    return V.read(spark, d, "documents").groupBy(F.col("source").alias("agent_id")).agg(F.count("*").alias("n"))
+    """The rows of one agent."""
+    return maintain.stats(V.episodic(spark, d), facts.supersede(V.writes(spark, d)), V.procs(spark, d), "src1")
 
 
 def _log(spark: SparkSession, d: str) -> DataFrame:
@@ -348,10 +349,15 @@ def tombstones(spark: SparkSession, d: str) -> DataFrame:
     return maintain.without(V.episodic(spark, d), gone).select("id")
 
 
-@query(f"WITH {V.EPISODIC} SELECT e.id, coalesce(CAST(l.quality AS DOUBLE), importance) AS importance FROM episodic e LEFT JOIN (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY doc_id) l ON l.doc_id = e.id")
+@query(f"""WITH {V.EPISODIC} SELECT e.id, coalesce(CAST(l.quality AS DOUBLE), importance) AS importance, CASE WHEN l.quality IS NULL THEN lang ELSE 'q' || l.quality END AS k, agent_id AS source, CAST(l.toxic AS VARCHAR) AS toxic
+FROM episodic e LEFT JOIN (SELECT doc_id, max(quality) AS quality, max(toxic) AS toxic FROM labels GROUP BY doc_id) l ON l.doc_id = e.id""")
 def partial_update(spark: SparkSession, d: str) -> DataFrame:
-    u = V.read(spark, d, "labels").groupBy(F.col("doc_id").alias("id")).agg(F.max("quality").cast("double").alias("importance"))
-    return maintain.update_columns(V.episodic(spark, d), u, ["importance"], None).select("id", "importance")
+    """A column, and keys of the metadata: one that is there already, one that is not, one that stays."""
+    u = V.read(spark, d, "labels").groupBy(F.col("doc_id").alias("id")).agg(F.max("quality").alias("q"), F.max("toxic").alias("toxic"))
+    u = u.select("id", F.col("q").cast("double").alias("importance"), F.to_json(F.struct(F.concat(F.lit("q"), F.col("q")).alias("k"), "toxic")).alias("metadata"))
+    base = V.episodic(spark, d).withColumn("metadata", F.to_json(F.struct(F.col("lang").alias("k"), F.col("agent_id").alias("source"))))
+    out = maintain.update_columns(base, u, ["importance"])
+    return out.select("id", "importance", *(F.get_json_object("metadata", f"$.{k}").alias(k) for k in ("k", "source", "toxic")))
 
 
 @query(f"WITH {V.EPISODIC} SELECT id, created_at AS accessed_at, round(decay_score, 6) AS decay_score FROM episodic ORDER BY created_at, id LIMIT 50 OFFSET 30")
@@ -399,21 +405,56 @@ def context_facts(spark: SparkSession, d: str) -> DataFrame:
     return recall.pack_facts(V.graph(spark, d), q).select("query_id", "used", F.array_join("taken", "; ").alias("taken"))
 
 
+#: Queries that name a nation, and procedures of the sources for some nations: all three stores have answers.
+THREE_STORES = f"""{V.EPISODIC}, {V.QUERIES}, {V.GRAPH}, {V.PROCS}, asked AS (SELECT query_id, 'NATION_' || (5 + query_id % 5) AS query, vec, agent FROM queries),
+own AS (SELECT id, name, description || ' for NATION_' || (5 + id // 20 % 5) AS description, 'src' || (id % 20) AS agent_id, success_rate, execution_count, contexts FROM procs)"""
+PROCEDURE_TEXT = "'Procedure ''' || name || ''': ' || description || '. Steps: ' || array_to_string(list_transform(contexts, lambda c: 'check ' || c || CASE WHEN length(c) % 2 = 0 THEN ' (' || lower(c) || ')' ELSE '' END), ' → ')"
+
+
+def _recalled(n: str, q: str, k: int, semantic: bool) -> str:
+    """Tables, the last called n: what the stores recall for the queries of q, within its budget."""
+    holds = lambda *cs: " OR ".join(f"{c} ILIKE '%' || query || '%'" for c in cs)
+    order = "PARTITION BY query_id ORDER BY score DESC, so, pos, id"
+    facts_ = f"UNION ALL SELECT query_id, 'semantic', 1, row_number() OVER (PARTITION BY query_id ORDER BY e.id), e.id, subject || ' ' || predicate || ' ' || object, confidence FROM {q} q JOIN edges e ON {holds('subject', 'predicate', 'object')}" if semantic else ""
+    packed = "CASE WHEN b + t > budget THEN substr(content, 1, CAST((budget - b) * 4 - 3 AS BIGINT)) || '...' ELSE content END"
+    return f"""{n}_h AS (SELECT q.query_id, e.*, {DIST} AS dist FROM {q} q JOIN episodic e ON e.embedding IS NOT NULL AND (e.agent_id = q.agent OR e.scope IN ('team','org'))),
+{n}_near AS (SELECT *, importance * decay_score AS eff FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dist, id) AS r FROM {n}_h) WHERE r <= {k}),
+{n}_pos AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY eff DESC, dist, id) AS pos, count(*) OVER (PARTITION BY query_id) AS n FROM {n}_near),
+{n}_p AS (SELECT query_id, o.id, success_rate, row_number() OVER (PARTITION BY query_id ORDER BY success_rate DESC, execution_count DESC, o.id) AS pos, {PROCEDURE_TEXT} AS content FROM {q} q JOIN own o ON o.agent_id = q.agent AND ({holds('name', 'description', 'CAST(to_json(contexts) AS VARCHAR)')})),
+{n}_c AS (SELECT query_id, 'episodic' AS store, 0 AS so, pos, CAST(id AS VARCHAR) AS id, content, 0.8 * eff + 0.2 * (1 - (pos - 1)::DOUBLE / greatest(1, n)) AS score FROM {n}_pos {facts_} UNION ALL SELECT query_id, 'procedural', 2, pos, CAST(id AS VARCHAR), content, success_rate FROM {n}_p WHERE pos <= 1),
+{n}_t AS (SELECT c.*, q.budget, {TOKENS.format('content')} AS t FROM {n}_c c JOIN {q} q USING (query_id)),
+{n}_b AS (SELECT *, coalesce(sum(t) OVER ({order} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM {n}_t),
+{n} AS (SELECT query_id, store, id, row_number() OVER ({order}) AS out_pos, {TOKENS.format(packed)} AS tokens FROM {n}_b WHERE b < budget OR b + t <= budget)"""
+
+
 def _stores(spark: SparkSession, d: str, types: tuple[str, ...], budget_: int) -> dict:
-    p = V.procs(spark, d).withColumn("agent_id", F.lit(None).cast("string"))
-    return {"queries": V.query_batch(spark, d, budget_, types), "episodic": V.episodic(spark, d), "triples": V.graph(spark, d), "procs": p}
+    q = V.query_batch(spark, d, budget_, types).withColumn("query", F.concat(F.lit("NATION_"), 5 + F.col("query_id") % 5))
+    p = V.procs(spark, d).withColumn("agent_id", F.concat(F.lit("src"), F.col("id") % 20)).withColumn("description", F.expr("concat(description, ' for NATION_', 5 + id div 20 % 5)"))
+    return {"queries": q, "episodic": V.episodic(spark, d), "triples": V.graph(spark, d), "procs": p}
 
 
-@query()
+@query(f"WITH {THREE_STORES}, q AS (SELECT *, 800 AS budget FROM asked), {_recalled('r', 'q', 20, True)} SELECT * FROM r")
 def recall_three_stores(spark: SparkSession, d: str) -> DataFrame:
     out = recall.recall(**_stores(spark, d, ("episodic", "semantic", "procedural"), 800))
-    return out.select("query_id", "store", F.col("id").cast("string").alias("id"), "out_pos", "tokens")
+    return out.select("query_id", "store", F.col("id").cast("string").alias("id"), F.col("out_pos").cast("bigint").alias("out_pos"), "tokens")
 
 
-@query()
+IDENTITY = "I am a planner."
+_IDENTITY_TOKENS = TOKENS.format(f"'{IDENTITY}'")
+
+
+@query(f"""WITH {THREE_STORES}, q AS (SELECT *, 1000 - {_IDENTITY_TOKENS} AS left0 FROM asked), first AS (SELECT entity FROM (SELECT DISTINCT u AS entity FROM both_ways) ORDER BY entity LIMIT 20),
+f AS (SELECT q.query_id, least(200, left0) AS b, e.*, subject || ' ' || predicate || ' ' || object AS content, (e.agent_id = q.agent)::INT AS own, max((e.agent_id = q.agent)::INT) OVER (PARTITION BY q.query_id, subject) AS any_ FROM edges e, q WHERE subject IN (SELECT entity FROM first)),
+l AS (SELECT query_id, any_value(b) AS b, list({{'c': content, 't': {TOKENS.format('content')}}} ORDER BY subject, confidence DESC, id) AS l FROM f WHERE own = any_ GROUP BY query_id),
+z AS (SELECT query_id, list_reduce(l, lambda a, x: CASE WHEN a.used + x.t <= b THEN {{'used': a.used + x.t, 'taken': list_append(a.taken, x.t)}} ELSE a END, {{'used': 0::BIGINT, 'taken': []::BIGINT[]}}) AS z FROM l),
+t1 AS (SELECT query_id, unnest(range(1, len(z.taken) + 1)) AS pos, unnest(z.taken) AS tokens FROM z),
+q1 AS (SELECT q.*, left0 - coalesce(z.used, 0) AS left1 FROM q LEFT JOIN z USING (query_id)), q2 AS (SELECT *, least(500, left1) AS budget FROM q1 WHERE least(500, left1) > 0), {_recalled('t2', 'q2', 20, False)},
+q3 AS (SELECT * FROM (SELECT q1.*, left1 - coalesce((SELECT sum(tokens) FROM t2 WHERE t2.query_id = q1.query_id), 0) AS budget FROM q1) WHERE budget > 50), {_recalled('t3', 'q3', 50, True)}
+SELECT query_id, 0 AS tier, 1 AS pos, {_IDENTITY_TOKENS} AS tokens FROM q UNION ALL SELECT query_id, 1, pos, tokens FROM t1 UNION ALL SELECT query_id, 2, out_pos, tokens FROM t2
+UNION ALL SELECT query_id, 3, out_pos, tokens FROM t3 WHERE NOT EXISTS (SELECT 1 FROM t2 WHERE t2.query_id = t3.query_id AND t2.id = t3.id)""")
 def context_tiers(spark: SparkSession, d: str) -> DataFrame:
     s = _stores(spark, d, ("episodic",), 1000)
-    return recall.context(s["queries"], s["episodic"], s["triples"], s["procs"], 3, "I am a planner.", Config()).select("query_id", "tier", "pos", "tokens")
+    return recall.context(s["queries"], s["episodic"], s["triples"], s["procs"], 3, IDENTITY, Config()).select("query_id", "tier", F.col("pos").cast("bigint").alias("pos"), "tokens")
 
 
 @query()
@@ -422,8 +463,6 @@ def vector_topk_approximate(spark: SparkSession, d: str) -> DataFrame:
     return search.nearest_approximate(e, V.query_batch(spark, d).select("query_id", "vec"), 10).select("query_id", "id", r6(F.col("dist"), "dist"))
 
 
-
-
 @query("""WITH e AS (SELECT item_id, text, list_slice(regexp_split_to_array(text, '\\s+'), 1, 5) AS expected FROM benchmark)
 SELECT e.item_id, d.doc_id, round(len(list_filter(expected, lambda k: contains(lower(d.text), lower(k))))::DOUBLE / len(expected), 6) AS score FROM e, documents d""")
 def eval_keywords(spark: SparkSession, d: str) -> DataFrame:

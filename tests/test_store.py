@@ -267,6 +267,7 @@ def test_a_tokenizer_fills_budgets(spark):
 
 
 def test_approximate_search_from_a_threshold(spark):
+    from memspark import sizes
     from memspark.operators import search
 
     rows = [(i, [1.0, i / 50, 0.5]) for i in range(50)]
@@ -275,5 +276,7 @@ def test_approximate_search_from_a_threshold(spark):
     exact = {(r.query_id, r.id) for r in search.find(df, q, 3, F.col("id") % 2 == 0, 51).collect()}
     near = {(r.query_id, r.id) for r in search.find(df, q, 3, F.col("id") % 2 == 0, 50).collect()}
     assert len(exact) == 6 and len(exact & near) >= 5
-    blocks = search.query_blocks(q, block_bytes=100)
+    blocks = sizes.blocks(q, "query_id", 100)
     assert len(blocks) > 1 and sum(b.count() for b in blocks) == 2
+    rows = spark.createDataFrame([(i,) for i in range(5)], "n int")
+    assert sorted((r.n, r.query_id) for r in sizes.join_blocks(rows, q, F.col("n") > F.col("query_id"), block_bytes=100).collect()) == [(n, i) for n in range(5) for i in (0, 1) if n > i]
