@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 FIELD_TYPES = ("str", "int", "float", "bool", "list", "dict", "any")
@@ -74,6 +74,22 @@ def field_errors(metadata: Column, fields: dict[str, Field]) -> Column:
     return F.array_compact(F.array(*out)) if out else F.array().cast("array<string>")
 
 
+def errors_of(metadata: Column, fields: Column) -> Column:
+    """The same against fields that come as a column; null without fields."""
+    values = F.from_json(F.coalesce(metadata, F.lit("{}")), "map<string,variant>")
+
+    def error(m, f):
+        name, kind = f["name"], f["type"]
+        # Fixed texts, as in field_errors
+        actual = F.coalesce(python_type(F.element_at(m, name)), F.lit("NoneType"))
+        fine = (kind == "any") | (actual == kind) | ((kind == "float") & (actual == "int"))
+        missing = F.when(f["must"], F.concat(F.lit("metadata."), name, F.lit(": required field missing")))
+        wrong = F.concat(F.lit("metadata."), name, F.lit(": expected "), kind, F.lit(", got "), actual)
+        return F.when(~F.coalesce(F.map_contains_key(m, name), F.lit(False)), missing).when(~fine, wrong)
+
+    return F.array_compact(F.flatten(F.transform(F.array(values), lambda m: F.transform(fields, lambda f: error(m, f)))))
+
+
 class Registry:
     """Schemas by agent, kept as JSON; a file that cannot be read counts as empty."""
 
@@ -92,12 +108,15 @@ class Registry:
     def list(self) -> list[Schema]:
         return [self.schemas[a] for a in sorted(self.schemas)]
 
+    def table(self, spark: SparkSession) -> DataFrame:
+        """A row for each agent with a schema: agent, fields (name, type, whether one must be there)."""
+        rows = [(s.agent_id, [(n, f.type, f.required and f.default is None) for n, f in s.fields.items()]) for s in self.list()]
+        return spark.createDataFrame(rows, "_agent string, _fields array<struct<name:string,type:string,must:boolean>>")
+
     def validate(self, df: DataFrame, metadata: str = "metadata", agent: str = "agent_id") -> DataFrame:
-        """df with errors: array of texts; empty for agents without a schema."""
-        e = F.array().cast("array<string>")
-        for s in self.list():
-            e = F.when(F.col(agent) == s.agent_id, field_errors(F.col(metadata), s.fields)).otherwise(e)
-        return df.withColumn("errors", e)
+        """df with errors: array of texts; empty for agents without a schema. One expression, however many agents have one."""
+        rows = df.join(F.broadcast(self.table(df.sparkSession)), F.col(agent) == F.col("_agent"), "left")
+        return rows.withColumn("errors", F.coalesce(errors_of(F.col(metadata), F.col("_fields")), F.array().cast("array<string>"))).select(*df.columns, "errors")
 
     def validate_and_raise(self, df: DataFrame) -> None:
         if not self.strict:

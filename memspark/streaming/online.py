@@ -12,8 +12,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..schemas import STORES
 from ..sources.store import Store
 
-#: Facts closed, and facts opened, by an arrival.
-CHANGE = "subject string, predicate string, object string, write_seq bigint, written_at timestamp, closed_seq array<bigint>"
+#: An arrival, and the first and the last write of the facts it closes; null where it closes none.
+CHANGE = "subject string, predicate string, object string, write_seq bigint, written_at timestamp, closed_first bigint, closed_last bigint"
 
 
 def read_table(spark: SparkSession, path: str, store: str, max_files: int | None = None) -> DataFrame:
@@ -32,28 +32,32 @@ def append_to(store: Store, name: str):
 
 
 def supersede_online(writes: DataFrame, late: str = "1 hour") -> DataFrame:
-    """Arrivals with the sequence numbers of the facts they close: those of another object of their subject and predicate.
+    """Arrivals with the interval of writes they close: those of another object of their subject and predicate, one after another.
 
-    State per (subject, predicate): the open object and its writes. Arrival decides; rows later than the
-    watermark are dropped. Within a micro-batch rows count in the order of write_seq.
+    State per (subject, predicate), of a fixed size: the open object, its first and its last write. Arrival
+    decides; rows later than the watermark are dropped. Within a micro-batch rows count in the order of write_seq.
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        obj, open_ = state.get if state.exists else (None, [])
-        rows = pd.concat(list(batches)).sort_values("write_seq")
-        out = []
-        for r in rows.itertuples():
-            closed = []
-            if obj is not None and r.object != obj:
-                closed, open_ = list(open_), []
-            obj = r.object
-            open_ = [*open_, int(r.write_seq)]
-            out.append((key[0], key[1], r.object, int(r.write_seq), r.written_at, closed))
-        state.update((obj, open_))
-        yield pd.DataFrame(out, columns=["subject", "predicate", "object", "write_seq", "written_at", "closed_seq"])
+        rows = pd.concat(list(batches)).sort_values("write_seq", ignore_index=True)
+        obj, first, last = state.get if state.exists else (None, None, None)
+        known = obj is not None
+        before = rows["object"].shift(1)
+        before.iloc[0] = obj if known else rows["object"].iloc[0]
+        # islands of one object; the open one goes on where the first row has its object
+        changed = rows["object"] != before
+        island = changed.cumsum()
+        ends = rows.groupby(island)["write_seq"].agg(["min", "max"])
+        if known:
+            ends.loc[0, "min"], ends.loc[0, "max"] = first, ends["max"].get(0, last)
+        closed = ends.reindex((island - 1).where(changed, -1)).reset_index(drop=True).astype("Int64")
+        out = rows[["object", "write_seq", "written_at"]].assign(subject=key[0], predicate=key[1], closed_first=closed["min"], closed_last=closed["max"])
+        open_ = ends.loc[island.iloc[-1]]
+        state.update((rows["object"].iloc[-1], int(open_["min"]), int(open_["max"])))
+        yield out[["subject", "predicate", "object", "write_seq", "written_at", "closed_first", "closed_last"]]
 
     keyed = writes.withWatermark("written_at", late).select("subject", "predicate", "object", "write_seq", "written_at")
-    return keyed.groupBy("subject", "predicate").applyInPandasWithState(step, CHANGE, "object string, open array<bigint>", "append", GroupStateTimeout.NoTimeout)
+    return keyed.groupBy("subject", "predicate").applyInPandasWithState(step, CHANGE, "object string, first bigint, last bigint", "append", GroupStateTimeout.NoTimeout)
 
 
 def windowed_counts(events: DataFrame, ts: str, by: str, size: str = "1 hour", late: str = "10 minutes") -> DataFrame:

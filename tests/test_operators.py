@@ -193,3 +193,20 @@ def test_decay_pass(spark):
     df = spark.createDataFrame([(1, "a", dt.datetime(2024, 1, 1), 1.0), (2, "a", dt.datetime(2023, 1, 1), 1.0), (3, "b", dt.datetime(2023, 1, 1), 1.0)], "id int, agent_id string, accessed_at timestamp, decay_score double")
     kept, gone = maintain.decay_pass(df, dt.datetime(2024, 1, 8), agent="a")
     assert {r.id: round(r.decay_score, 6) for r in kept.collect()} == {1: 0.5, 3: 1.0} and [r.id for r in gone.collect()] == [2]
+
+
+def test_validation_by_one_expression(spark):
+    from memspark.operators.metadata_schema import Field, Registry, field_errors
+
+    kinds = {"s": Field("str", True), "i": Field("int"), "f": Field("float"), "b": Field("bool", True, default=False), "l": Field("list"), "d": Field("dict"), "a": Field("any", True)}
+    r = Registry()
+    r.register("x", "all", kinds)
+    for i in range(300):
+        r.register(f"agent {i}", "one", {"s": Field("str", True)})
+    texts = [None, "{}", "not json", '{"s": "t", "a": null}', '{"s": 1, "i": "1", "f": 1, "b": 1, "l": {}, "d": [], "a": 1}', '{"s": null, "i": 1.5, "f": "x", "b": true, "l": [1], "d": {"k": 1}, "a": [1]}', '{"s": "t", "i": 7, "f": 0.5, "a": "q"}']
+    df = spark.createDataFrame([(i, t, a) for i, t in enumerate(texts) for a in ("x", "agent 7", "nobody", None)], "id int, metadata string, agent_id string")
+    got = {(g.id, g.agent_id): g.errors for g in r.validate(df).collect()}
+    want = {g.id: g.e for g in df.filter("agent_id = 'x'").select("id", field_errors(F.col("metadata"), kinds).alias("e")).collect()}
+    assert {i: e for (i, a), e in got.items() if a == "x"} == want and any(want.values())
+    assert all(e == [] for (_, a), e in got.items() if a in ("nobody", None))
+    assert got[1, "agent 7"] == ["metadata.s: required field missing"] and got[3, "agent 7"] == []

@@ -147,7 +147,8 @@ def test_streams(spark, db, tmp_path):
     q = online.supersede_online(s).writeStream.format("memory").queryName("changes").option("checkpointLocation", str(tmp_path / "c")).start()
     q.processAllAvailable()
     q.stop()
-    assert {r.write_seq: r.closed_seq for r in spark.table("changes").collect()} == {1: [], 2: [], 3: [1, 2], 4: [], 5: [3]}
+    none = (None, None)
+    assert {r.write_seq: (r.closed_first, r.closed_last) for r in spark.table("changes").collect()} == {1: none, 2: none, 3: (1, 2), 4: none, 5: (3, 3)}
     db.remember("x")
     db.episodic().write.parquet(str(tmp_path / "ep"))
     db.forget_agent()
@@ -280,3 +281,24 @@ def test_approximate_search_from_a_threshold(spark):
     assert len(blocks) > 1 and sum(b.count() for b in blocks) == 2
     rows = spark.createDataFrame([(i,) for i in range(5)], "n int")
     assert sorted((r.n, r.query_id) for r in sizes.join_blocks(rows, q, F.col("n") > F.col("query_id"), block_bytes=100).collect()) == [(n, i) for n in range(5) for i in (0, 1) if n > i]
+
+
+def test_online_supersession_over_many_batches(spark, tmp_path):
+    import random
+
+    r = random.Random(4)
+    t = dt.datetime(2024, 1, 1)
+    rows = [("ab"[r.randrange(2)], "p", r.choice("xyz"), i, t + dt.timedelta(seconds=i)) for i in range(60)]
+    layout = "subject string, predicate string, object string, write_seq bigint, written_at timestamp"
+    for k in range(0, 60, 12):
+        spark.createDataFrame(rows[k : k + 12], layout).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    s = spark.readStream.schema(layout).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    q = online.supersede_online(s).writeStream.format("memory").queryName("many").option("checkpointLocation", str(tmp_path / "c")).start()
+    q.processAllAvailable()
+    q.stop()
+    want, open_ = {}, {}
+    for s_, _, o, i, _ in rows:
+        obj, first, last = open_.get(s_, (None, None, None))
+        want[i] = (first, last) if obj not in (None, o) else (None, None)
+        open_[s_] = (o, first if obj == o else i, i)
+    assert {x.write_seq: (x.closed_first, x.closed_last) for x in spark.table("many").collect()} == want
