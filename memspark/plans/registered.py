@@ -288,17 +288,40 @@ def _typed(spark: SparkSession, d: str) -> DataFrame:
     return _episodes(spark, d).select(F.col("id").alias("doc_id"), "content", kind.alias("memory_type"), (F.col("id") % 7).alias("access_count"), (F.col("id") % 60).cast("double").alias("recency_hours"))
 
 
-@query(f"""WITH {PLAIN_DOCS}, w AS (SELECT *, {WS} AS w, greatest(1, len({WS}))::DOUBLE AS n FROM p)
-SELECT doc_id, {KIND.format('0.0', '0.5', '1.0')}::DOUBLE AS type_norm, round(n / 100, 6) AS length, regexp_matches(text, 'v\\d+\\.\\d+')::INT::DOUBLE AS has_version, regexp_matches(a, '{score.METRIC}')::INT::DOUBLE AS has_metric,
-  round(least(1, {HIGH_N} / 5.0::DOUBLE), 6) AS high_kw, round(least(1, {LOW_N} / 5.0::DOUBLE), 6) AS low_kw,
-  round(least(1, len(list_filter(w, lambda x: regexp_full_match(x, '\\p{{Lu}}\\p{{L}}+'))) / n), 6) AS entity_density, round(least(1, len(list_filter(w, lambda x: regexp_matches(x, '\\p{{Nd}}'))) / n), 6) AS specificity,
-  round(least(1, len(list_filter(w, lambda x: list_contains({TECH}, regexp_replace(lower(x), '[.,;:()]+$', '')))) / 5.0::DOUBLE), 6) AS tech_density,
-  round(ln(1 + doc_id % 7), 6) AS access_log, round(exp(-(doc_id % 60) / 48.0::DOUBLE), 6) AS recency_decay FROM w""")
+#: SQL of the features, unrounded, over w: a document's words, their number n, its plain text a.
+FEATURE_SQL = {
+    "type_norm": KIND.format("0.0", "0.5", "1.0") + "::DOUBLE",
+    "length": "n / 100",
+    "has_version": "regexp_matches(text, 'v\\d+\\.\\d+')::INT::DOUBLE",
+    "has_metric": f"regexp_matches(a, '{score.METRIC}')::INT::DOUBLE",
+    "high_kw": f"least(1, {HIGH_N} / 5.0::DOUBLE)",
+    "low_kw": f"least(1, {LOW_N} / 5.0::DOUBLE)",
+    "entity_density": "least(1, len(list_filter(w, lambda x: regexp_full_match(x, '\\p{Lu}\\p{L}+'))) / n)",
+    "specificity": "least(1, len(list_filter(w, lambda x: regexp_matches(x, '\\p{Nd}'))) / n)",
+    "tech_density": f"least(1, len(list_filter(w, lambda x: list_contains({TECH}, regexp_replace(lower(x), '[.,;:()]+$', '')))) / 5.0::DOUBLE)",
+    "access_log": "ln(1 + doc_id % 7)",
+    "recency_decay": "exp(-(doc_id % 60) / 48.0::DOUBLE)",
+}
+FEATURE_ROWS = f"{PLAIN_DOCS}, w AS (SELECT *, {WS} AS w, greatest(1, len({WS}))::DOUBLE AS n FROM p)"
+
+
+@query(f"WITH {FEATURE_ROWS} SELECT doc_id, " + ", ".join(f"round({e}, 6) AS {n}" for n, e in FEATURE_SQL.items()) + " FROM w")
 def importance_features(spark: SparkSession, d: str) -> DataFrame:
     f = importance.features(_typed(spark, d), 0.0)
     return f.select("doc_id", *(F.round(F.element_at("features", i + 1), 6).alias(n) for i, n in enumerate(score.FEATURES)))
 
 
+#: A model with weights of our own, to hold its predictions against SQL.
+FIXED_MODEL = importance.ImportanceModel([0.04, 0.03, 0.02, 0.05, 0.11, -0.07, 0.013, 0.021, 0.06, 0.09, 0.017], 0.43, [0.5, 0.9, 0.01, 0.02, 0.03, 0.05, 0.1, 0.04, 0.02, 1.1, 0.5], [0.4, 1.3, 0.1, 0.2, 0.3, 0.4, 0.2, 0.1, 0.3, 0.7, 0.3])
+_PREDICTED = " + ".join([repr(FIXED_MODEL.intercept) + "::DOUBLE", *(f"(({e}) - {m!r}::DOUBLE) / {d!r}::DOUBLE * {c!r}::DOUBLE" for e, m, d, c in zip(FEATURE_SQL.values(), FIXED_MODEL.mean, FIXED_MODEL.std, FIXED_MODEL.coef))])
+
+
+@query(f"WITH {FEATURE_ROWS} SELECT doc_id, round(least(1, greatest(0, {_PREDICTED})), 6) AS score FROM w")
+def importance_predicted(spark: SparkSession, d: str) -> DataFrame:
+    f = importance.features(_typed(spark, d), 0.0)
+    return f.select("doc_id", r6(FIXED_MODEL.predict(F.col("features")), "score"))
+
+
 HEUR = f"""least(1, greatest(0, {KIND.format('0.4', '0.55', '0.6')}::DOUBLE + least(0.25, {HIGH_N} * 0.05::DOUBLE) - least(0.15, {LOW_N} * 0.03::DOUBLE)
   + CASE WHEN doc_id % 7 <= 0 THEN 0 ELSE least(0.15, 0.05 * ln(1 + doc_id % 7)) END + CASE WHEN doc_id % 60 <= 0 THEN 0.05 WHEN doc_id % 60 >= 48 THEN 0 ELSE 0.05 * (1 - (doc_id % 60) / 48.0::DOUBLE) END))"""
 
