@@ -35,8 +35,8 @@ from .winnow import let
 
 LONG_WORD = 256
 #: Words of the dictionary at most, and their bytes.
-DICTIONARY, DICTIONARY_WORD = 1 << 19, 48
-RANK_BUCKETS, WORD_BUCKETS = 1 << 16, 1 << 18
+DICTIONARY, DICTIONARY_WORD = 400_000, 48
+RANK_BUCKETS, WORD_BUCKETS = 1 << 16, 1 << 17
 #: A pair's rank stands above PLACE_BITS bits of its place; NO_RANK is beyond all ranks.
 PLACE_BITS, NO_RANK = 20, 1 << 30
 _WHITE, _BLACK = r"\p{IsWhite_Space}", r"\P{IsWhite_Space}"

@@ -33,7 +33,7 @@ SHORT_WORD, SLICE = 24, 4096
 START = "▁"
 LETTERS = regex.compile(r"\p{L}+")
 #: Chunks, and words, a worker remembers before it starts anew, and the letters in all of them.
-CACHE, CACHE_LETTERS = 200_000, 8_000_000
+CACHE, CACHE_LETTERS = 150_000, 6_000_000
 
 
 def vocabulary_pieces(path: str) -> list[str]:

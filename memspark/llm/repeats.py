@@ -39,9 +39,11 @@ BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
 POSITION = (1 << 30) - 1
 #: Bytes of text anchored at once, and suffixes sorted at once.
-CHUNK, BATCH = 1 << 20, 20_000
+CHUNK, BATCH = 1 << 19, 10_000
+#: Rows of a batch taken at once.
+ROWS = 256
 #: Suffixes from which on a family ends with the next key.
-FAMILY = 8 * BATCH
+FAMILY = 6 * BATCH
 
 
 class Grams:
@@ -102,7 +104,7 @@ def anchored(docs: DataFrame, length: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams = Grams()
-        for b in batches:
+        for b in (b.slice(a, ROWS) for b in batches for a in range(0, b.num_rows, ROWS)):
             raws = [t.encode("utf-8", "surrogatepass") for t in texts_of(b.column(2))]
             a = 0
             while a < len(raws):
@@ -308,9 +310,10 @@ def narrowed(docs: DataFrame, some: DataFrame) -> DataFrame:
 
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, hot: int = 1000, keep: tuple[str, ...] = (), with_text: bool = False) -> DataFrame:
     """(id, kept columns, n_bytes, n_removed, n_spans, kept_sha256[, kept_text]) of every row."""
-    names = {f"x{i}": c for i, c in enumerate(keep)}
-    docs = picked(df, id=id_col, text=text_col, **names).withColumn("text", F.coalesce("text", F.lit(""))).withColumn("h", F.xxhash64("text"))
-    found = materialise(repeated_spans(docs.select("id", "h", "text"), length, hot), "spans")
+    sent = [c for c in keep if c != text_col]
+    names = {f"x{i}": c for i, c in enumerate(sent)}
+    docs = picked(df, id=id_col, text=text_col, **names).withColumn("whole", F.coalesce("text", F.lit(""))).withColumn("h", F.xxhash64("whole"))
+    found = materialise(repeated_spans(docs.select("id", "h", F.col("whole").alias("text")), length, hot), "spans")
     ids = found.select("id").distinct()
     few = F.broadcast(ids) if fits_broadcast(ids) else ids
     hit = docs.join(few, docs.id.eqNullSafe(ids.id), "left_semi")
@@ -319,19 +322,22 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     hit = hit.alias("d").join(found.alias("s"), same, "left").select("d.id", *(f"d.{c}" for c in names), "d.text", "s.spans")
     every = hit.unionByName(clean.select("id", *names, "text", F.lit(None).cast(SPANS).alias("spans")))
     kinds = dict(every.dtypes)
+    passed = ["id", *names, *(["text"] if with_text or text_col in keep else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (b.slice(a, ROWS) for b in batches for a in range(0, b.num_rows, ROWS)):
             out = []
-            for text, cuts in zip(b.column(1 + len(names)).to_pylist(), b.column(2 + len(names)).to_pylist()):
+            for text, cuts in zip(texts_of(b.column(1 + len(names))), b.column(2 + len(names)).to_pylist()):
                 raw, cuts = text.encode("utf-8", "surrogatepass"), cuts or []
                 edges = [0, *(x for c in cuts for x in (c["a"], c["b"])), len(raw)]
                 rest = b"".join(raw[a:e] for a, e in zip(edges[::2], edges[1::2])) if cuts else raw
-                out.append((len(raw), len(raw) - len(rest), len(cuts), hashlib.sha256(rest).hexdigest(), rest.decode("utf-8", "ignore") if with_text else None))
+                out.append((len(raw), len(raw) - len(rest), len(cuts), hashlib.sha256(rest).hexdigest(), rest.decode("utf-8", "ignore") if with_text and cuts else None))
             cols = list(zip(*out)) if out else [()] * 5
             own = [pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()))]
-            yield pa.RecordBatch.from_arrays([b.column(i) for i in range(1 + len(names))] + own, names=["id", *names, "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"])
+            yield pa.RecordBatch.from_arrays([b.column(i) for i in range(len(passed))] + own, names=[*passed, "n_bytes", "n_removed", "n_spans", "kept_sha256", "cut"])
 
-    fields = ", ".join(f"{c} {kinds[c]}" for c in ("id", *names))
-    out = every.mapInArrow(run, f"{fields}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept_text string")
-    return out.select(F.col("id").alias(id_col), *(F.col(k).alias(v) for k, v in names.items()), "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept_text"] if with_text else []))
+    fields = ", ".join(f"{c} {kinds[c]}" for c in passed)
+    out = every.mapInArrow(run, f"{fields}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, cut string")
+    kept = {c: k for k, c in names.items()} | {text_col: "text"}
+    rest = [F.coalesce("cut", "text", F.lit("")).alias("kept_text")] if with_text else []
+    return out.select(F.col("id").alias(id_col), *(F.col(kept[c]).alias(c) for c in keep), "n_bytes", "n_removed", "n_spans", "kept_sha256", *rest)
