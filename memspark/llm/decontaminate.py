@@ -2,9 +2,9 @@
 
 Texts and benchmark items become word arrays. Of all k-gram hashes the least of every window is kept
 (k + window - 1 is the number of words of an item window, so a shared window always shares a pick);
-the picks of both sides are joined. A hit is extended to the item windows it can lie in, and these are
+the picks of all texts are written once, with their numbers of words, and joined with the items' picks. A hit is extended to the item windows it can lie in, and these are
 joined with the item windows word by word, so hash collisions never count. Items with fewer words than
-a window stand as one window and are looked up at every place.
+a window stand as one window and are looked up at every place, all such lengths in one more pass.
 
 Defined cases: null and empty texts have no words; null and wordless items have no windows. Items with a
 null id mark words as hit but are not listed. Repeated documents give a row each; repeated items count
@@ -63,6 +63,10 @@ def _grams(h: Column, m: int) -> Column:
     return F.when(F.size(h) >= m, every).otherwise(F.array().cast("array<bigint>"))
 
 
+def _placed_grams(h: Column, m: int) -> Column:
+    return F.transform(_grams(h, m), lambda g, i: F.struct(F.lit(m).alias("len"), i.alias("p"), g.alias("g")))
+
+
 def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", span: int = 10, k: int = 5, with_hash: bool = False) -> DataFrame:
     """(id[, h: the text's hash], n_words, n_hit, n_items, items_sha256, contaminated) of every document."""
     docs = picked(docs, id=id_col, text=text_col).withColumn("h", text_hash())
@@ -77,12 +81,16 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     # candidate places (0-based starts of k-grams, or of whole short items) of documents that share a pick
     item_hashes = F.transform(F.col("ws"), lambda w: F.xxhash64(lowered(w)))
     long_items = bench.filter(F.size("ws") >= span).select(F.explode(_fps(item_hashes, span, k)).alias("c")).select(winnow.gram_hash(F.col("c")).alias("g")).distinct()
-    doc_picks = docs.select("id", "h", F.explode(_fps(folded(F.col("text")), span, k)).alias("c"))
+    scan = docs.select("id", "h", winnow.let(folded(F.col("text")), lambda h: F.struct(F.size(h).cast("long").alias("n_words"), _fps(h, span, k).alias("picks"))).alias("x"))
+    scan = materialise(scan.select("id", "h", "x.n_words", "x.picks"), "scan")
+    doc_picks = scan.select("id", "h", F.explode("picks").alias("c"))
     hits = doc_picks.select("id", "h", winnow.gram_hash(F.col("c")).alias("g"), winnow.position(F.col("c")).alias("p")).join(_small(long_items, stats["words"] or 0), "g", "left_semi").select("id", "h", F.lit(span).alias("len"), "p")
-    for m in sorted(stats["short"] or []):
-        short = bench.filter(F.size("ws") == m).select(winnow.let(item_hashes, lambda h: _gram(h, F.lit(0), m)).alias("g")).distinct()
-        found = docs.select("id", "h", F.posexplode(winnow.let(folded(F.col("text")), lambda h: _grams(h, m))).alias("p", "g")).join(_small(short, stats["n"]), "g", "left_semi")
-        hits = hits.unionByName(found.select("id", "h", F.lit(m).alias("len"), "p"))
+    shorts = sorted(stats["short"] or [])
+    if shorts:
+        short = bench.filter(F.size("ws") < span).select(F.size("ws").alias("len"), winnow.let(item_hashes, lambda h: F.coalesce(*(F.when(F.size(h) == m, _gram(h, F.lit(0), m)) for m in shorts))).alias("g")).distinct()
+        every = winnow.let(folded(F.col("text")), lambda h: F.flatten(F.array(*(_placed_grams(h, m) for m in shorts))))
+        found = docs.select("id", "h", F.explode(every).alias("x")).select("id", "h", "x.len", "x.p", "x.g").join(_small(short, stats["n"]), ["len", "g"], "left_semi")
+        hits = hits.unionByName(found.select("id", "h", "len", "p"))
     hits = materialise(hits.groupBy("id", "h").agg(F.collect_set(F.struct("len", "p")).alias("places")), "hits")
     size = hits.agg(F.count("*").alias("n"), F.sum(F.size("places")).alias("p")).first()
     places = _small(hits, size["n"] * 24 + (size["p"] or 0) * 16, BROADCAST_BYTES)
@@ -100,7 +108,7 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     step = lambda a, x: F.struct(F.greatest(a.end, x.s + x.len).alias("end"), (a.n + F.greatest(F.lit(0), x.s + x.len - F.greatest(a.end, x.s))).alias("n"))
     real = real.select("id", "h", F.aggregate("spans", zero, step, lambda a: a.n).alias("n_hit"), "items")
 
-    base = docs.select("id", "h", F.regexp_count(lowered(F.col("text")), F.lit(WORD)).cast("long").alias("n_words"))
+    base = scan.select("id", "h", "n_words")
     same = F.col("b.id").eqNullSafe(F.col("r.id")) & (F.col("b.h") == F.col("r.h"))
     ids = F.coalesce(F.col("r.items"), F.array().cast("array<string>"))
     return base.alias("b").join(real.alias("r"), same, "left").select(
