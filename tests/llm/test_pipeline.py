@@ -16,7 +16,7 @@ from .test_repeats import brute as cut
 from .test_scalar_ops import contaminated
 
 
-def removed_text(texts, length=400):
+def removed_text(texts, length=corpus_pipeline.PASSAGE_BYTES):
     raws = [t.encode() for t in texts]
     seen = {}
     for i, r in enumerate(raws):
@@ -62,6 +62,43 @@ def test_run(spark, tmp_path):
     assert cut(["a"], 400)
 
 
+LAYOUT = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+
+
+def test_passages_of_over_fifty_words_go(spark):
+    r = random.Random(23)
+    word = lambda: "".join(r.choice("aeioubcdlmnrst") for _ in range(r.choice([2, 3, 4, 5, 6, 7])))
+    text = lambda n: " ".join(word() for _ in range(n))
+    passages = [text(n) for n in (51, 52, 53, 55, 58, 60)]
+    assert min(len(p) for p in passages) < 320
+    rows = [(i, text(40) + " " + passages[i % 6] + " " + text(30), "en", None, 1) for i in range(18)] + [(100 + i, text(90), None, "s", 1) for i in range(30)]
+    out = {x.doc_id: x for x in corpus_pipeline.repeated_passages(spark, spark.createDataFrame(rows, LAYOUT), "").collect()}
+    assert len(out) == len(rows)
+    for i, t, *_ in rows:
+        if i < 100:
+            # words beside a passage may go with it where two documents happen to share a letter there
+            assert passages[i % 6] not in out[i].text and len(t) - len(passages[i % 6]) - 12 <= len(out[i].text) <= len(t) - len(passages[i % 6])
+            assert out[i].n_chars == len(out[i].text)
+        else:
+            assert (out[i].text, out[i].n_chars) == (t, 1)
+
+
+def test_stages_on_odd_tables(spark, tmp_path):
+    spark.createDataFrame([(0, "x " * 20)], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    extra = "doc_id bigint, text string, lang string, source string, n_chars bigint, h string, id string, key string, root string, score double"
+    r = random.Random(24)
+    long = " ".join(f"w{r.randrange(10**6)}" for _ in range(20_000))
+    rows = [(1, None, None, None, None), (None, "", None, None, None), (2, long, "en", None, 5), (2, long, "en", None, 5), (None, "the only words of this row", None, "s", None)]
+    docs = spark.createDataFrame([(*x, "h", None, "k", "r", 0.5) for x in rows], extra)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), str(tmp_path)).collect() == [], name
+        out = stage(spark, docs, str(tmp_path))
+        if name != "token_ids":
+            assert out.columns == list(corpus_pipeline.COLUMNS)
+        n = len(out.collect())
+        assert n == {"near_duplicates": 3, "repeated_passages": 3, "language": 3}.get(name, 5), (name, n)
+
+
 def test_registered():
     import __spark_entry__
 
