@@ -35,8 +35,8 @@ from .winnow import let
 
 LONG_WORD = 256
 #: Words of the dictionary at most, and their bytes.
-DICTIONARY, DICTIONARY_WORD = 400_000, 48
-RANK_BUCKETS, WORD_BUCKETS = 1 << 16, 1 << 17
+DICTIONARY, DICTIONARY_WORD = 1 << 19, 48
+RANK_BUCKETS = 1 << 16
 #: A pair's rank stands above PLACE_BITS bits of its place; NO_RANK is beyond all ranks.
 PLACE_BITS, NO_RANK = 20, 1 << 30
 _WHITE, _BLACK = r"\p{IsWhite_Space}", r"\P{IsWhite_Space}"
@@ -137,8 +137,9 @@ def joined(pieces: Column, of=lambda x: x) -> Column:
 
 
 class Codec:
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
+    def __init__(self, spark: SparkSession, path: str, words: int = DICTIONARY):
+        self.spark, self.path, self.words = spark, path, words
+        self.buckets = 1 << max(0, words.bit_length() - 2)
         self.ranks = load_ranks(path)
         self.rank_maps = materialise(_bucketed(spark.createDataFrame([(bytearray(k), v) for k, v in self.ranks.items()], "key binary, value int"), RANK_BUCKETS), "ranks")
         pieces = [(bytearray(), bytearray())] * (max(self.ranks.values()) + 1)
@@ -167,13 +168,13 @@ class Codec:
         least, total = math.inf, 0
         for lv, n in levels:
             total += n
-            if total > DICTIONARY:
+            if total > self.words:
                 break
             least = lv
         chosen = counted.filter((w != "") & (level >= F.lit(float(least)))).select("w")
         # many tasks for the folds, whatever the files of counted were
         own = self.literals(chosen.repartition(64, "w"), "w").select(F.col("w").alias("key"), let(F.col("ranks"), lambda r: self.coded(w, r)).alias("value"))
-        return materialise(_bucketed(own, WORD_BUCKETS), "dictionary"), bool(counted.filter("w = ''").take(1))
+        return materialise(_bucketed(own, self.buckets), "dictionary"), bool(counted.filter("w = ''").take(1))
 
     @staticmethod
     def value(one_row: DataFrame, column: str = "maps") -> Column:
@@ -185,7 +186,7 @@ class Codec:
         lit = self.literals(docs, id_col, "text", dict=self.value(words))
         slow = F.col("text").rlike(r"[^\s]{%d}|\s{%d}" % (LONG_WORD // 4, LONG_WORD // 4)) & F.exists(split_words(F.col("text")), lambda x: F.octet_length(x) > LONG_WORD)
         fast = lit.filter(~slow) if long else lit
-        pieces = let(F.col("ranks"), lambda r: let(F.col("dict"), lambda d: F.transform(split_words(F.col("text")), lambda x: F.coalesce(_look_up(d, x, WORD_BUCKETS), self.coded(x, r)))))
+        pieces = let(F.col("ranks"), lambda r: let(F.col("dict"), lambda d: F.transform(split_words(F.col("text")), lambda x: F.coalesce(_look_up(d, x, self.buckets), self.coded(x, r)))))
         out = let(pieces, lambda p: F.struct(joined(p, lambda x: x.le).alias("le"), joined(p, lambda x: x.raw).alias("raw")))
         out = fast.select(id_col, out.alias("x")).select(id_col, F.floor(F.octet_length("x.le") / 4).alias("n_tokens"), F.sha2("x.le", 256).alias("ids_sha256"), F.sha2("x.raw", 256).alias("decoded_sha256"))
         return out.unionByName(self._heap(docs.filter(slow), id_col)) if long else out
@@ -205,7 +206,10 @@ class Codec:
         return docs.select(id_col, "text").mapInArrow(run, f"`{id_col}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
 
 
-def encode(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_tokens, ids_sha256, decoded_sha256) of every row, by the rank file at the path vocabulary."""
+def encode(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", dictionary: int = DICTIONARY) -> DataFrame:
+    """(id, n_tokens, ids_sha256, decoded_sha256) of every row, by the rank file at the path vocabulary.
+
+    dictionary: words folded beforehand at most. More take memory (some 100 bytes each, in every task), fewer time.
+    """
     docs = picked(df, **{id_col: id_col, "text": text_col}).withColumn("text", F.coalesce("text", F.lit("")))
-    return Codec(df.sparkSession, vocabulary).encoded(docs, id_col)
+    return Codec(df.sparkSession, vocabulary, dictionary).encoded(docs, id_col)

@@ -14,14 +14,13 @@ from memspark.llm.registered import RANKS
 from .test_scalar_ops import ODD, frame, some_texts
 
 
-def test_encode_and_decode(spark, monkeypatch):
-    monkeypatch.setattr(byte_bpe, "DICTIONARY", 30)
+def test_encode_and_decode(spark):
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(RANKS, "rb"))}
     lib = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
     r = random.Random(1)
     texts = ODD + some_texts(30) + ["=" * 700 + " " * 900 + "x", "".join(r.choice("acgt") for _ in range(2000))]
     for own in (texts, [t for t in texts if not t or len(t) < 60]):
-        got = {x.doc_id: x for x in byte_bpe.encode(frame(spark, own), RANKS).collect()}
+        got = {x.doc_id: x for x in byte_bpe.encode(frame(spark, own), RANKS, dictionary=30).collect()}
         assert len(got) == len(own)
         for i, t in enumerate(own):
             ids = lib.encode_ordinary(t or "")
