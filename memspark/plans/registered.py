@@ -10,6 +10,7 @@ from .. import adapters
 from ..functions import score, text, vector
 from ..operators import budget, evaluate, facts, importance, maintain, metadata_schema, procedures, recall, search
 from ..schemas import Config
+from ..streaming import online
 from . import views as V
 
 QUERIES: dict = {}
@@ -258,6 +259,15 @@ def consolidation(spark: SparkSession, d: str) -> DataFrame:
     return maintain.recurring_statements(_episodes(spark, d), None).select("agent_id", "subject", "predicate", "object", "n", F.size("source_episodes").cast("bigint").alias("sources"), r6(F.col("confidence"), "confidence"))
 
 
+@query(f"""WITH {STATEMENTS}, g AS (SELECT agent_id, lower(subject) AS subject, predicate, lower(object) AS object, count(*) AS n FROM st GROUP BY ALL HAVING count(*) >= 2)
+SELECT agent_id, subject, predicate, object, n FROM g WHERE length(subject) % 2 = 1 AND agent_id IS NOT NULL""")
+def consolidation_new(spark: SparkSession, d: str) -> DataFrame:
+    """Those of the recurring statements that no fact says yet; facts here say those of subjects of even length, in capitals."""
+    found = maintain.recurring_statements(_episodes(spark, d), None)
+    known = found.filter(F.length("subject") % 2 == 0).select("agent_id", "subject", "predicate", F.upper("object").alias("object"), F.lit(None).cast("timestamp").alias("valid_until"))
+    return maintain.new_facts(found, known).select("agent_id", "subject", "predicate", "object", "n")
+
+
 @query("SELECT source AS agent_id, count(*) AS n FROM documents GROUP BY source HAVING count(*) >= 10")
 def consolidation_due(spark: SparkSession, d: str) -> DataFrame:
     return maintain.due_for_consolidation(V.read(spark, d, "documents").withColumnRenamed("source", "agent_id"))
@@ -569,3 +579,23 @@ def token_budget(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT conv_id, turn, CASE WHEN role = 'user' THEN 0.6 ELSE 0.5 END::DOUBLE AS importance FROM conversations")
 def role_importance(spark: SparkSession, d: str) -> DataFrame:
     return V.read(spark, d, "conversations").select("conv_id", "turn", F.when(F.col("role") == "user", F.lit(adapters.role_importance("user"))).otherwise(F.lit(adapters.role_importance(""))).alias("importance"))
+
+
+@query(f"SELECT d.doc_id, round(CASE WHEN {TOKENS.format('text')} > 0 THEN l.quality::DOUBLE / {TOKENS.format('text')} ELSE 0 END, 9) AS density FROM documents d JOIN (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY doc_id) l USING (doc_id)")
+def eval_density(spark: SparkSession, d: str) -> DataFrame:
+    """Quality a token."""
+    q = V.read(spark, d, "labels").groupBy("doc_id").agg(F.max("quality").cast("double").alias("quality"))
+    return V.read(spark, d, "documents").join(q, "doc_id").select("doc_id", F.round(evaluate.density(F.col("quality"), text.count_tokens(F.col("text"))), 9).alias("density"))
+
+
+@query(f"""WITH {V.EPISODIC}, {V.QUERIES}, h AS (SELECT query_id, id, {DIST} AS dist FROM queries q JOIN episodic e ON e.embedding IS NOT NULL)
+SELECT query_id, id, round(1 / (1 + dist), 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dist, id) AS r FROM h) WHERE r <= 3""")
+def eval_distance_scores(spark: SparkSession, d: str) -> DataFrame:
+    hits = search.nearest(V.episodic(spark, d).select("id", "embedding"), V.query_batch(spark, d).select("query_id", "vec"), 3)
+    return hits.select("query_id", "id", r6(evaluate.distance_score(F.col("dist")), "score"))
+
+
+@query("SELECT date_trunc('hour', ts) AS began, event_type, count(*) AS n FROM events GROUP BY ALL")
+def event_windows(spark: SparkSession, d: str) -> DataFrame:
+    """The streaming counts by window, over a table that is all there."""
+    return online.windowed_counts(V.read(spark, d, "events"), "ts", "event_type").select(F.col("window.start").alias("began"), "event_type", "n")

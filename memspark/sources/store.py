@@ -234,14 +234,31 @@ def read_sessions(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]
     return messages, raw.select(F.explode("questions").alias("q")).select("q.*")
 
 
-def as_episodic(df: DataFrame, content: str, agent: Column, at: Column, importance: Column | None = None, scope: str = "private") -> DataFrame:
-    """Rows of any source as new episodic rows."""
+def as_episodic(df: DataFrame, content: str, agent: Column, at: Column, importance: Column | None = None, scope: str = "private", keep_id: str | None = None) -> DataFrame:
+    """Rows of any source as new episodic rows, under ids of their own or those of a column."""
     return df.select(
-        F.expr("uuid()").alias("id"), F.col(content).alias("content"), F.lit("episodic").alias("memory_type"), agent.alias("agent_id"), F.lit(scope).alias("scope"), F.lit(None).cast("string").alias("team_id"),
+        (F.col(keep_id).cast("string") if keep_id else F.expr("uuid()")).alias("id"), F.col(content).alias("content"), F.lit("episodic").alias("memory_type"), agent.alias("agent_id"), F.lit(scope).alias("scope"), F.lit(None).cast("string").alias("team_id"),
         (importance if importance is not None else F.lit(0.5)).alias("importance"), F.lit(1.0).alias("decay_score"), F.lit(0).cast("bigint").alias("access_count"), at.alias("created_at"), at.alias("accessed_at"),
         F.lit(None).cast("array<float>").alias("embedding"), F.lit("{}").alias("metadata"),
     )
 
 
+def ingest(store: Store, df: DataFrame, content: str, agent: Column, at: str, id_col: str | None = None) -> dict[str, int]:
+    """Rows of another product into the store: {"migrated": ..., "failed": ...}.
+
+    at: a column of timestamps, or of milliseconds since 1970. Rows without content, agent or time fail, as do
+    ids that are no UUIDs where ids are given; of rows with one id the last in time counts.
+    """
+    when = from_millis(F.col(at)) if dict(df.dtypes)[at] in ("bigint", "int") else F.col(at).cast("timestamp")
+    fine = F.col(content).isNotNull() & agent.isNotNull() & when.isNotNull()
+    fine = fine & is_uuid(F.col(id_col)) if id_col else fine
+    good = df.filter(F.coalesce(fine, F.lit(False)))
+    rows = as_episodic(good, content, agent, when, keep_id=id_col)
+    total, n = df.count(), good.count()
+    if n:
+        store.append(rows, "episodic", order=[F.col("created_at"), F.col("id")])
+    return {"migrated": n, "failed": total - n}
+
+
 def write_report(spark: SparkSession, results: dict, path: str) -> None:
     spark.createDataFrame([(json.dumps(results, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(path)

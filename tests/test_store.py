@@ -302,3 +302,28 @@ def test_online_supersession_over_many_batches(spark, tmp_path):
         want[i] = (first, last) if obj not in (None, o) else (None, None)
         open_[s_] = (o, first if obj == o else i, i)
     assert {x.write_seq: (x.closed_first, x.closed_last) for x in spark.table("many").collect()} == want
+
+
+def test_ingest_counts_what_it_took(spark, db, tmp_path):
+    a, b = "0b1c2d3e-0000-4000-8000-00000000000a", "0b1c2d3e-0000-4000-8000-00000000000b"
+    rows = [(a, "old text", "ann", 1_700_000_000_000), (a, "new text", "ann", 1_700_000_000_500), (b, "other", "bob", 1_600_000_000_000), ("17", "no uuid", "bob", 1), (b, None, "bob", 1), (b, "no time", "bob", None)]
+    df = spark.createDataFrame(rows, "key string, body string, who string, ms bigint")
+    assert store_module.ingest(db.store, df, "body", F.col("who"), "ms", "key") == {"migrated": 3, "failed": 3}
+    assert db.get(a)["content"] == "new text" and db.get(b)["agent_id"] == "bob"
+    at = db.store.get("episodic", a).select(store_module.to_millis(F.col("created_at")).alias("ms")).first()
+    assert at.ms == 1_700_000_000_500
+    store_module.write_report(spark, {"b": 1, "a": [2]}, str(tmp_path / "report"))
+    assert json.loads(spark.read.text(str(tmp_path / "report")).first().value) == {"a": [2], "b": 1}
+
+
+def test_partial_fit_moves_towards_the_labels(spark):
+    from memspark.operators import importance
+
+    m = importance.default_model(spark)
+    rows = [(f"critical error {i}: must rollback v{i}.1", "episodic", 0.05, 0, 0.0) for i in range(40)]
+    df = spark.createDataFrame(rows, "content string, memory_type string, importance double, access_count bigint, recency_hours double")
+    mean = lambda model: importance.scored(df, model).agg(F.avg("score")).first()[0]
+    once = importance.partial_fit(m, df)
+    assert mean(m) > 0.9 and mean(once) == pytest.approx(0.05, abs=0.05)
+    assert mean(importance.partial_fit(m, df.limit(1))) > mean(once)
+    assert importance.partial_fit(m, df.repartition(7)).coef == pytest.approx(once.coef)
