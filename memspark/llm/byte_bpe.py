@@ -29,7 +29,7 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, picked, texts_of
+from .common import in_workers, materialise, picked, texts_of
 from .token_counts import PRE_TOKEN
 from .winnow import let
 
@@ -203,7 +203,7 @@ class Codec:
                 cols = list(zip(*digests)) if digests else [(), (), ()]
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.string())], names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
 
-        return docs.select(id_col, "text").mapInArrow(run, f"`{id_col}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+        return docs.select(id_col, "text").transform(in_workers, run, f"`{id_col}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
 
 
 def encode(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", dictionary: int = DICTIONARY) -> DataFrame:

@@ -84,6 +84,19 @@ BROADCAST_BYTES = 32 << 20
 HOT_SHARE = 1e-4
 
 
+#: Bytes of an Arrow batch: texts lie in several copies in a task and its worker, so a batch is to be small.
+ARROW_KEY, ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
+
+
+def in_workers(df: DataFrame, run, layout: str) -> DataFrame:
+    """df.mapInArrow(run, layout), in batches of ARROW_BYTES at most. The session's setting is lowered where it allows more."""
+    spark = df.sparkSession
+    as_bytes = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes
+    if as_bytes(spark.conf.get(ARROW_KEY)) > ARROW_BYTES:
+        spark.conf.set(ARROW_KEY, str(ARROW_BYTES))
+    return df.mapInArrow(run, layout)
+
+
 def fits_broadcast(df: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
     """Whether the rows of df are of a size to be broadcast; strings and binaries are measured, not assumed."""
     wide = [F.coalesce(F.octet_length(F.col(f"`{c}`")), F.lit(0)) for c, t in df.dtypes if t in ("string", "binary")]

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import crc_bucket, fits_broadcast, picked
+from .common import crc_bucket, fits_broadcast, in_workers, picked
 
 #: Letters up to which words are summed many at once, and letters of a longer one looked at at once.
 SHORT_WORD, SLICE = 24, 4096
@@ -261,7 +261,7 @@ def sample_counts(df: DataFrame, id_col: str, text_col: str, lang_col: str, fold
     # at most max_docs_per_lang ids of each language
     texts = labelled.join(F.broadcast(some) if fits_broadcast(some) else some, ["id", "lang"], "left_semi").select("lang", "text")
     counts: dict[str, dict[str, int]] = {}
-    for lang, word, n in texts.mapInArrow(count, "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n")).toLocalIterator():
+    for lang, word, n in texts.transform(in_workers, count, "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n")).toLocalIterator():
         counts.setdefault(lang, {})[word] = n
     return counts
 
@@ -346,7 +346,7 @@ def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     kinds = dict(df.dtypes)
     fields = ", ".join(f"`{c}` {kinds[c]}" for c in (id_col, *keep))
-    return picked(df, **{id_col: id_col, "text_": text_col, **{c: c for c in sent}}).mapInArrow(run, f"{fields}, lang_pred string, score double")
+    return picked(df, **{id_col: id_col, "text_": text_col, **{c: c for c in sent}}).transform(in_workers, run, f"{fields}, lang_pred string, score double")
 
 
 def train(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 5, held: int = 0, max_docs_per_lang: int = 400) -> Model:

@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import ASCII_LOWER, WORD, picked, texts_of
+from .common import ASCII_LOWER, WORD, in_workers, picked, texts_of
 
 #: Phrases and their labels.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
@@ -278,4 +278,4 @@ def scan_licences(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds))], names=[id_col, "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"])
 
     kind = dict(df.dtypes)[id_col]
-    return picked(df, **{id_col: id_col, "text_": text_col}).mapInArrow(run, f"`{id_col}` {kind}, n_words bigint, n_base bigint, first_word bigint, last_word bigint, base_labels string, labels string, score double")
+    return picked(df, **{id_col: id_col, "text_": text_col}).transform(in_workers, run, f"`{id_col}` {kind}, n_words bigint, n_base bigint, first_word bigint, last_word bigint, base_labels string, labels string, score double")

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import fits_broadcast, join_spread, materialise, picked, text_hash, texts_of
+from .common import fits_broadcast, in_workers, join_spread, materialise, picked, text_hash, texts_of
 from .licences import words_of
 
 #: Upper ranks of the strips darts are thrown in; what lies beyond doubles.
@@ -184,7 +184,7 @@ def sketch(docs: DataFrame, bands: int, rows: int, size: int, counts: bool) -> D
                 flat = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, bands), pa.int32()), pa.array(keys.reshape(-1)))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(cls, pa.binary()), pa.array(n, pa.int64()), flat], names=["id", "h", "cls", "n", "bands"])
 
-    return docs.select("id", "text", "h").mapInArrow(run, f"id {dict(docs.dtypes)['id']}, h bigint, cls binary, n bigint, bands array<bigint>")
+    return docs.select("id", "text", "h").transform(in_workers, run, f"id {dict(docs.dtypes)['id']}, h bigint, cls binary, n bigint, bands array<bigint>")
 
 
 def sets_of(docs: DataFrame, size: int, counts: bool) -> DataFrame:
@@ -201,7 +201,7 @@ def sets_of(docs: DataFrame, size: int, counts: bool) -> DataFrame:
                     cls.append(class_of(e, c)), els.append(e.view(np.int64)), wts.append(c if counts else c[:0])
                 yield pa.RecordBatch.from_arrays([pa.array(cls, pa.binary()), pa.array(els, pa.list_(pa.int64())), pa.array(wts, pa.list_(pa.int64()))], names=["cls", "els", "wts"])
 
-    return docs.select("text").mapInArrow(run, "cls binary, els array<bigint>, wts array<bigint>")
+    return docs.select("text").transform(in_workers, run, "cls binary, els array<bigint>, wts array<bigint>")
 
 
 def similar(pairs: DataFrame, sets: DataFrame, threshold: float, counts: bool) -> DataFrame:
@@ -225,7 +225,7 @@ def similar(pairs: DataFrame, sets: DataFrame, threshold: float, counts: bool) -
                 keep.append(bool(every and both_ >= threshold * every))
             yield pa.RecordBatch.from_arrays([cols[0], cols[1]], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.select("a", "b", "ea", "wa", "eb", "wb").mapInArrow(check, "a binary, b binary")
+    return both.select("a", "b", "ea", "wa", "eb", "wb").transform(in_workers, check, "a binary, b binary")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -298,7 +298,7 @@ def settled(blocks: DataFrame, threshold: float, counts: bool) -> DataFrame:
                 held.append((block[i], cls[i], *(v[o[i] : o[i + 1]].copy() for v, o in flat)))
         yield from close()
 
-    return blocks.select("block", "cls", "els", "wts", "bands").mapInArrow(run, "node binary, root binary")
+    return blocks.select("block", "cls", "els", "wts", "bands").transform(in_workers, run, "node binary, root binary")
 
 
 def prefix_pairs(some: DataFrame, sets: DataFrame, threshold: float, counts: bool) -> DataFrame:

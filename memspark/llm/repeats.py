@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fits_broadcast, join_spread, materialise, picked, texts_of
+from .common import fits_broadcast, in_workers, join_spread, materialise, picked, texts_of
 from .near_dups import mix
 
 BASE = 0x9E3779B97F4A7C15
@@ -118,7 +118,7 @@ def anchored(docs: DataFrame, length: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(lo, pa.int32()), pa.array(n, pa.int32()), pa.array(anc, pa.int32()), pa.array(key, pa.int64()), pa.array(seg, pa.int64())], names=["id", "h", "lo", "n", "anc", "key", "seg"])
                 a = e
 
-    return docs.select("id", "h", "text").mapInArrow(run, f"id {dict(docs.dtypes)['id']}, h bigint, lo int, n int, anc int, key bigint, seg bigint")
+    return docs.select("id", "h", "text").transform(in_workers, run, f"id {dict(docs.dtypes)['id']}, h bigint, lo int, n int, anc int, key bigint, seg bigint")
 
 
 class Family:
@@ -226,7 +226,7 @@ def matched(records: DataFrame, length: int) -> DataFrame:
         if held:
             yield close()
 
-    return records.select("key", "seg", "raw", "mult").mapInArrow(run, f"key bigint, seg bigint, spans {SPANS}")
+    return records.select("key", "seg", "raw", "mult").transform(in_workers, run, f"key bigint, seg bigint, spans {SPANS}")
 
 
 def cut_ranges(records: DataFrame, length: int, width: int) -> DataFrame:
@@ -250,7 +250,7 @@ def cut_ranges(records: DataFrame, length: int, width: int) -> DataFrame:
             kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["pkey", "pseg", "off", "key", "seg", "raw", "anc", "mult"])
 
-    return records.select("key", "seg", "raw", "anc", "mult").mapInArrow(run, "pkey bigint, pseg bigint, off int, key bigint, seg bigint, raw binary, anc int, mult bigint")
+    return records.select("key", "seg", "raw", "anc", "mult").transform(in_workers, run, "pkey bigint, pseg bigint, off int, key bigint, seg bigint, raw binary, anc int, mult bigint")
 
 
 def decided(records: DataFrame, length: int, hot: int, width: int) -> DataFrame:
@@ -337,7 +337,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([b.column(i) for i in range(len(passed))] + own, names=[*passed, "n_bytes", "n_removed", "n_spans", "kept_sha256", "cut"])
 
     fields = ", ".join(f"{c} {kinds[c]}" for c in passed)
-    out = every.mapInArrow(run, f"{fields}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, cut string")
+    out = every.transform(in_workers, run, f"{fields}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, cut string")
     kept = {c: k for k, c in names.items()} | {text_col: "text"}
     rest = [F.coalesce("cut", "text", F.lit("")).alias("kept_text")] if with_text else []
     return out.select(F.col("id").alias(id_col), *(F.col(kept[c]).alias(c) for c in keep), "n_bytes", "n_removed", "n_spans", "kept_sha256", *rest)

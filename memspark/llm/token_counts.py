@@ -21,7 +21,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import picked, texts_of
+from .common import in_workers, picked, texts_of
 
 #: The pattern that splits text before byte-level merges.
 PRE_TOKEN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -165,4 +165,4 @@ def count_tokens(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_co
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size, pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())], names=[id_col, "n_bytes", "n_tokens", "over_limit"])
 
     kind = dict(df.dtypes)[id_col]
-    return picked(df, **{id_col: id_col, "text_": text_col}).mapInArrow(run, f"`{id_col}` {kind}, n_bytes bigint, n_tokens bigint, over_limit boolean")
+    return picked(df, **{id_col: id_col, "text_": text_col}).transform(in_workers, run, f"`{id_col}` {kind}, n_bytes bigint, n_tokens bigint, over_limit boolean")

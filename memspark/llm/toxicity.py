@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_bucket, picked
+from .common import crc_bucket, in_workers, picked
 
 SENTENCE = re.compile(r"[.!?\n]+")
 TOKEN = re.compile(r"[^\W\d_]+")
@@ -96,7 +96,7 @@ def choose_features(train: DataFrame, max_features: int, least_docs: int) -> lis
                     own.setdefault(f, [0, 0])[k] += 1
         yield pa.RecordBatch.from_arrays([pa.array(own, pa.string()), pa.array([v[0] for v in own.values()], pa.int64()), pa.array([v[1] for v in own.values()], pa.int64())], names=["f", "n0", "n1"])
 
-    c = train.select("text", "y").mapInArrow(count, "f string, n0 bigint, n1 bigint").groupBy("f").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    c = train.select("text", "y").transform(in_workers, count, "f string, n0 bigint, n1 bigint").groupBy("f").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     c = c.filter((F.col("f") == "") | (F.col("n1") >= least_docs))
     c = c.persist()
     try:
@@ -128,7 +128,7 @@ def bags(train: DataFrame, chosen: list[str]) -> list[tuple[int, int, list[list[
                 ys.append(1 if y == 1 else 0), bare.append(none), hits.append(own)
             yield pa.RecordBatch.from_arrays([pa.array(ys, pa.int32()), pa.array(bare, pa.int64()), pa.array(hits, pa.list_(pa.list_(pa.int32())))], names=["y", "bare", "hits"])
 
-    return [tuple(r) for r in train.select("text", "y").mapInArrow(run, "y int, bare bigint, hits array<array<int>>").collect()]
+    return [tuple(r) for r in train.select("text", "y").transform(in_workers, run, "y int, bare bigint, hits array<array<int>>").collect()]
 
 
 def fit(sample: list[tuple[int, int, list[list[int]]]], chosen: list[str], rounds: int = 400, rate: float = 0.1, ridge: float = 1e-4) -> Model:
@@ -181,5 +181,5 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s, pa.float64()), pa.array([len(f) for f in found], pa.int64()), pa.array(worst, pa.string())], names=[id_col, "score", "n_offending", "worst_sentence"])
 
     kind = dict(docs.dtypes)[id_col]
-    out = picked(docs, **{id_col: id_col, "text_": text_col}).mapInArrow(run, f"`{id_col}` {kind}, score double, n_offending bigint, worst_sentence string")
+    out = picked(docs, **{id_col: id_col, "text_": text_col}).transform(in_workers, run, f"`{id_col}` {kind}, score double, n_offending bigint, worst_sentence string")
     return out.select(id_col, F.coalesce(crc_bucket(id_col, folds) == held, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "n_offending", "worst_sentence")
