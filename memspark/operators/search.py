@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.ml.feature import BucketedRandomProjectionLSH
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -68,22 +71,21 @@ def ranked_by_importance(hits: DataFrame, rank_by: str = "importance") -> DataFr
     return hits.withColumn("eff", eff).withColumn("pos", F.row_number().over(W.partitionBy("query_id").orderBy(*order)))
 
 
-def nearest_approximate(candidates: DataFrame, queries: DataFrame, k: int = 20, bucket_length: float = 0.8, tables: int = 8, over_fetch: int = 10, least: int = 50, extra: Column | None = None) -> DataFrame:
-    """By locality-sensitive hashing of unit vectors, then exact distances of what was found.
+def nearest_approximate(candidates: DataFrame, queries: DataFrame, k: int = 20, bucket_length: float = 0.8, tables: int = 8, extra: Column | None = None) -> DataFrame:
+    """By locality-sensitive hashing of unit vectors: the k nearest, exactly ranked, of the rows that share a bucket of any table with the query.
 
-    Of each query max(over_fetch * k, least) neighbours in the hash tables' order are ranked exactly, those
-    that fail extra, a condition on query and candidate columns, left out.
+    Rows meet the broadcast queries where they lie, each pair once, whatever the number of tables; vectors are
+    not shuffled. extra, a condition on query and candidate columns, holds before the k are chosen.
     """
-    as_unit = lambda df, c: df.withColumn("u", array_to_vector(vector.unit(F.col(c))))
-    base = as_unit(candidates.filter(F.col("embedding").isNotNull()), "embedding")
-    model = BucketedRandomProjectionLSH(inputCol="u", outputCol="hashes", bucketLength=bucket_length, numHashTables=tables, seed=7).fit(base)
-    near = model.approxSimilarityJoin(as_unit(queries, "vec"), base, 2.0, "l2")
-    flat = near.select(F.col("datasetA.query_id").alias("query_id"), F.col("datasetB.id").alias("id"), (F.col("l2") * F.col("l2") / 2).alias("approx"))
-    first = flat.withColumn("r", F.row_number().over(W.partitionBy("query_id").orderBy("approx", "id"))).filter(F.col("r") <= max(over_fetch * k, least)).drop("r", "approx")
-    pairs = candidates.join(first, "id").join(queries, "query_id")
-    pairs = pairs if extra is None else pairs.filter(extra)
-    pairs = pairs.withColumn("dist", vector.cosine_distance(F.col("vec"), F.col("embedding"))).drop("embedding", "vec")
-    return pairs.withColumn("near_rank", F.row_number().over(W.partitionBy("query_id").orderBy("dist", "id"))).filter(F.col("near_rank") <= k)
+    as_unit = lambda df, c: df.filter(F.col(c).isNotNull()).withColumn("_u", array_to_vector(vector.unit(F.col(c))))
+    asked = as_unit(queries, "vec")
+    if asked.isEmpty():
+        return nearest(candidates, queries, k, extra)
+    # of what it is fitted to, the model takes the dimension only
+    model = BucketedRandomProjectionLSH(inputCol="_u", outputCol="_h", bucketLength=bucket_length, numHashTables=tables, seed=7).fit(asked)
+    hashed = lambda df, name: model.transform(df).withColumn(name, F.transform("_h", lambda h: vector_to_array(h)[0])).drop("_u", "_h")
+    met = reduce(or_, (F.col("_rows")[i] == F.col("_asked")[i] for i in range(tables)))
+    return nearest(hashed(as_unit(candidates, "embedding"), "_rows"), hashed(asked, "_asked"), k, met if extra is None else met & extra).drop("_rows", "_asked")
 
 
 def choose_strategy(n: int, threshold: int = 5000) -> str:

@@ -180,6 +180,25 @@ def test_approximate_search_recall(spark):
     assert search.choose_strategy(100) == "exact" and search.choose_strategy(5000) == "approximate"
 
 
+def test_approximate_search_keeps_vectors_in_place(spark):
+    import numpy as np
+
+    x = np.random.default_rng(3).normal(size=(400, 8))
+    e = spark.createDataFrame([(i, v.tolist(), i % 40) for i, v in enumerate(x)] + [(400, None, 0), (401, [0.0] * 8, 0)], "id bigint, embedding array<float>, part int")
+    q = spark.createDataFrame([(i, v.tolist(), i) for i, v in enumerate(x[:6])], "query_id bigint, vec array<float>, own int")
+    out = search.nearest_approximate(e, q, 10)
+    rows = {(r.query_id, r.id): r.dist for r in out.collect()}
+    exact = {(r.query_id, r.id): r.dist for r in search.nearest(e, q, 10).collect()}
+    assert len(rows) == 60 and len(rows.keys() & exact.keys()) >= 54 and all(rows[i] == exact[i] for i in rows.keys() & exact.keys())
+    # what is dealt out holds ids and distances
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "SortMergeJoin" not in plan
+    # a condition that the nearest hundred fail still leaves k rows
+    far = search.nearest_approximate(e, q, 8, extra=F.col("part") == F.pmod(F.col("own") + 7, F.lit(40))).collect()
+    assert len(far) == 48 and all(r.part == r.own + 7 for r in far)
+    assert search.nearest_approximate(e, q.limit(0), 5).collect() == [] and search.nearest_approximate(e.limit(0), q, 5).collect() == []
+
+
 def test_tiers_do_not_overlap(spark):
     s = registered._stores(spark, "/root/testdata/sf0.001", ("episodic",), 2000)
     rows = recall.context(s["queries"].limit(2), s["episodic"], s["triples"], s["procs"], 3, "identity").collect()
