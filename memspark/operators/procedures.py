@@ -36,10 +36,23 @@ def ranked(procedures: DataFrame, queries: DataFrame, min_success: float = 0.0,
 
     kw = text.keywords(F.col(query_col))
     terms = queries.select("query_id", *([F.col(agent_col).alias("_agent")] if agent_col else []), F.posexplode(F.when(F.size(kw) > 0, kw).otherwise(F.array(query_col))).alias("kw_pos", "kw"))
-    hit = text.like_everywhere(F.col("kw"), F.col("name"), F.col("description"), F.to_json("applicable_contexts")) & (F.col("success_rate") >= min_success)
+    # equal keywords of an agent are looked up once
+    asked = terms.select(*(["_agent"] if agent_col else []), "kw").distinct()
+    hit = (F.col("success_rate") >= min_success) & text.like_everywhere(F.col("kw"), F.col("name"), F.col("description"), F.to_json("applicable_contexts"))
+    rows = procedures.select("id", "name", "description", "applicable_contexts", "agent_id", "success_rate", "execution_count")
+    thin = ["id", "success_rate", "execution_count", *asked.columns]
     if agent_col:
-        hit = hit & (F.col("_agent").isNull() | (F.col("agent_id") == F.col("_agent")))
-    pairs = sizes.join_blocks(procedures, terms, hit)
+        # an agent's procedures meet its own terms only
+        own = sizes.join_blocks(rows, asked.filter(F.col("_agent").isNotNull()), (F.col("agent_id") == F.col("_agent")) & hit, key="kw").select(*thin)
+        pairs = own.unionByName(sizes.join_blocks(rows, asked.filter(F.col("_agent").isNull()), hit, key="kw").select(*thin))
+    else:
+        pairs = sizes.join_blocks(rows, asked, hit, key="kw").select(*thin)
+    again = terms.withColumnRenamed("kw", "_kw")
+    same = F.col("kw") == F.col("_kw")
+    if agent_col:
+        again = again.withColumnRenamed("_agent", "_of")
+        same = same & F.col("_agent").eqNullSafe(F.col("_of"))
+    pairs = sizes.join_blocks(pairs, again, same)
     found = pairs.groupBy("query_id", "id").agg(F.count("*").alias("matches"), F.min("kw_pos").alias("first_hit"), F.first("success_rate").alias("success_rate"), F.first("execution_count").alias("execution_count"))
     order = W.partitionBy("query_id").orderBy(F.desc("matches"), F.desc("success_rate"), "first_hit", F.desc("execution_count"), "id")
     return found.withColumn("pos", F.row_number().over(order))

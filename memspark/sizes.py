@@ -38,3 +38,8 @@ def join_blocks(rows: DataFrame, stated: DataFrame, on, key: str = "query_id", b
         part = rows.join(block, on) if on is not None else rows.crossJoin(block)
         out = part if out is None else out.unionByName(part)
     return out
+
+
+def few(df: DataFrame, stated: DataFrame, k: int, row_bytes: int = 256) -> DataFrame:
+    """A frame of at most k rows, of few columns, for each stated row: to be broadcast, if that is little."""
+    return F.broadcast(df) if stated.count() * k * row_bytes <= BROADCAST_BYTES else df

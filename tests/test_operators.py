@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from memspark import sizes
 from memspark.functions import score, text, vector
 from memspark.operators import budget, facts, importance, maintain, metadata_schema, procedures, recall, search
 from memspark.plans import registered, views
@@ -208,6 +209,34 @@ def test_tiers_do_not_overlap(spark):
         assert sum(r.tokens for r in rows if r.query_id == q) <= 2000
 
 
+def test_equal_queries_are_looked_up_once(spark, monkeypatch):
+    met, join = [], sizes.join_blocks
+    monkeypatch.setattr(sizes, "join_blocks", lambda rows, stated, on, **more: met.append(stated.count()) or join(rows, stated, on, **more))
+    triples = spark.createDataFrame([(f"f{i:02}", f"ann {i}", "is", "Bob" if i % 3 else "Eve", "a", (i % 7) / 7, None) for i in range(60)], "id string, subject string, predicate string, object string, agent_id string, confidence double, valid_until timestamp")
+    procs = spark.createDataFrame([(i, f"bobsled {i}", "d", f"agent {i % 3}", 0.5 + i / 100, i, ["x"], [("go", None)]) for i in range(12)], "id int, name string, description string, agent_id string, success_rate double, execution_count int, applicable_contexts array<string>, steps array<struct<action:string,tool:string>>")
+    q = spark.createDataFrame([(i, "bobs" if i % 2 else "bob", [1.0, i / 40], f"agent {i % 4}" if i < 30 else None, ["semantic", "procedural"], 5 + i) for i in range(40)], "query_id int, query string, vec array<float>, agent string, types array<string>, budget int")
+    facts_ = {(r.query_id, r.id, r.pos) for r in recall.semantic_candidates(triples, q).collect()}
+    want = [i for i in range(60) if i % 3]
+    assert facts_ == {(k, f"f{i:02}", p + 1) for k in range(0, 40, 2) for p, i in enumerate(want)} and met[0] == 2
+    met.clear()
+    best = {r.query_id: r.id for r in procedures.best(procs, q.withColumn("query", F.lit("bobsled")), 1, agent_col="agent").collect()}
+    assert best == {k: 11 if k >= 30 else 9 + k % 4 for k in range(40) if k >= 30 or k % 4 < 3} and met[:2] == [4, 1]
+    # no fact that fits is lost
+    rows = lambda **more: [tuple(r) for r in recall.recall(q, None, triples, procs, **more).select("query_id", "id", "out_pos", "packed").orderBy("query_id", "out_pos").collect()]
+    assert rows() == rows(count=text.count_tokens) and len(rows()) > 40
+
+
+def test_texts_are_fetched_for_what_was_found(spark, monkeypatch):
+    seen, find = [], search.find
+    monkeypatch.setattr(search, "find", lambda rows, *a, **more: seen.append(rows.columns) or find(rows, *a, **more))
+    e = spark.createDataFrame([(1, "b", "x", "org", 0.5, 1.0, [1.0, 0.0]), (1, "a", "x", "org", 0.5, 1.0, [1.0, 0.0]), (1, "c", "x", "org", 0.9, 1.0, [0.0, 1.0]), (None, "n", "x", "org", 0.1, 1.0, [1.0, 0.1]), (2, "p", "y", "private", 0.5, 1.0, [1.0, 0.0]), (3, None, "x", "org", 0.2, 1.0, [1.0, 0.2])], "id int, content string, agent_id string, scope string, importance double, decay_score double, embedding array<float>")
+    q = spark.createDataFrame([(0, [1.0, 0.0], "x"), (1, [0.0, 1.0], "y")], "query_id int, vec array<float>, agent string")
+    got = {k: sorted((str(r.id), str(r.content)) for r in recall.episodic_candidates(e, q, 6, 0.2).collect() if r.query_id == k) for k in (0, 1)}
+    own = [("1", "a"), ("1", "b"), ("1", "c"), ("3", "None"), ("None", "n")]
+    assert got == {0: own, 1: sorted([*own, ("2", "p")])}
+    assert seen and not any("content" in x for x in seen)
+
+
 def test_decay_pass(spark):
     df = spark.createDataFrame([(1, "a", dt.datetime(2024, 1, 1), 1.0), (2, "a", dt.datetime(2023, 1, 1), 1.0), (3, "b", dt.datetime(2023, 1, 1), 1.0)], "id int, agent_id string, accessed_at timestamp, decay_score double")
     kept, gone = maintain.decay_pass(df, dt.datetime(2024, 1, 8), agent="a")
