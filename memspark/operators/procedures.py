@@ -39,7 +39,7 @@ def ranked(procedures: DataFrame, queries: DataFrame, min_success: float = 0.0,
     # equal keywords of an agent are looked up once
     asked = terms.select(*(["_agent"] if agent_col else []), "kw").distinct()
     hit = (F.col("success_rate") >= min_success) & text.like_everywhere(F.col("kw"), F.col("name"), F.col("description"), F.to_json("applicable_contexts"))
-    rows = procedures.select("id", "name", "description", "applicable_contexts", "agent_id", "success_rate", "execution_count")
+    rows = procedures.select("id", "name", "description", "applicable_contexts", *(["agent_id"] if agent_col else []), "success_rate", "execution_count")
     thin = ["id", "success_rate", "execution_count", *asked.columns]
     if agent_col:
         # an agent's procedures meet its own terms only
